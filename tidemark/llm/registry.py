@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, id_matrix, packing, simhash, token_cache
 
 QUERIES = {
+    "op3_id_matrices": id_matrix.op3_id_matrices,
+    "op5_simhash_popcount": simhash.op5_simhash_popcount,
     "op6_bpe_replay": bpe.op6_bpe_replay,
+    "op7_token_counts": token_cache.op7_token_counts,
+    "op8_swap_packing": packing.op8_swap_packing,
 }
 ORACLES: dict[str, str] = {}
