@@ -13,16 +13,16 @@ from tidemark.llm.common import Scratch
 
 
 def tiled(rows: DataFrame, key: list[str], member: str, limit: int, scratch: Scratch, name: str) -> DataFrame:
-    """Add (tile_a, tile_b): a group of more than ``limit`` rows is dealt into k chunks, and each row goes to the k tiles
+    """Add (tile_a, tile_b, chunk): a group of more than ``limit`` rows is dealt into k chunks, and each row goes to the k tiles
     of its chunk, so that any two rows of a group meet in a tile and none holds more than about twice ``limit`` rows."""
     sizes = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
     sizes = scratch.write(sizes.withColumn("_k", F.ceil(F.col("_n") / limit).cast("int")).drop("_n"), f"{name}-sizes")
     if sizes.isEmpty():
-        return rows.withColumn("tile_a", F.lit(0)).withColumn("tile_b", F.lit(0))
+        return rows.select("*", *[F.lit(0).alias(c) for c in ("tile_a", "tile_b", "chunk")])
     chunks = F.coalesce("_k", F.lit(1))
     dealt = rows.join(sizes, key, "left").withColumn("_c", F.pmod(F.xxhash64(member), chunks).cast("int"))
     dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    return dealt.select(*rows.columns, F.least("_c", "_j").alias("tile_a"), F.greatest("_c", "_j").alias("tile_b"))
+    return dealt.select(*rows.columns, F.least("_c", "_j").alias("tile_a"), F.greatest("_c", "_j").alias("tile_b"), F.col("_c").alias("chunk"))
 
 
 def by_group(df: DataFrame, key: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, id_matrix, packing, simhash, token_cache
+from tidemark.llm import bpe, forest, id_matrix, packing, repeats, simhash, token_cache
 
 QUERIES = {
     "op3_id_matrices": id_matrix.op3_id_matrices,
@@ -10,5 +10,7 @@ QUERIES = {
     "op6_bpe_replay": bpe.op6_bpe_replay,
     "op7_token_counts": token_cache.op7_token_counts,
     "op8_swap_packing": packing.op8_swap_packing,
+    "op9_projection_forest": forest.op9_projection_forest,
+    "op10_suffix_dedup": repeats.op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
