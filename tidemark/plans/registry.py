@@ -2,5 +2,196 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import binding, gold, layout, prices, quality, sessions
+from tidemark.plans.sql import FUNNEL_COLUMNS, INTERVAL_COLUMNS, ORACLES
+from tidemark.settings import RULES
+from tidemark.sources import fixtures
+from tidemark.sources.paths import workspace
+from tidemark.sources.store import Table
+from tidemark.streaming.ingest import ingest, land
+
+Query = Callable[[SparkSession, str], DataFrame]
+__all__ = ["ORACLES", "QUERIES"]
+
+
+def plain(rows: DataFrame) -> DataFrame:
+    """Instants without zone, as the fixtures have them."""
+    return rows.select(*[F.col(n).cast("timestamp_ntz").alias(n) if k == "timestamp" else F.col(n) for n, k in rows.dtypes])
+
+
+# ---------------------------------------------------------------- layers
+
+
+def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.deduplicate(sessions.usable(fixtures.ingested(spark, sf_dir)))
+
+
+def sessionized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.sessionize(deduped(spark, sf_dir), RULES.session_gap_seconds)
+
+
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prices.price_intervals(prices.priced_events(deduped(spark, sf_dir)), RULES.noise_cents)
+
+
+def closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prices.closed_intervals(intervals(spark, sf_dir), deduped(spark, sf_dir))
+
+
+def silver(spark: SparkSession, sf_dir: str, how: Callable = binding.bind_asof) -> DataFrame:
+    return binding.to_silver(how(sessionized(spark, sf_dir), closed(spark, sf_dir)))
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold.funnel_hourly(silver(spark, sf_dir)).select(*FUNNEL_COLUMNS.split(", "))
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prices.significant_changes(intervals(spark, sf_dir), RULES.significant_change)
+
+
+def increases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes(spark, sf_dir).where("pct_price_change > 0")
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold.elasticity(silver(spark, sf_dir), changes(spark, sf_dir), RULES)
+
+
+# ---------------------------------------------------------------- queries that need more than a line
+
+
+def bind_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks, held = sessionized(spark, sf_dir), closed(spark, sf_dir)
+    first = binding.bind_broadcast(clicks, held)
+    pairs = {"broadcast-binned": binding.bind_binned, "broadcast-asof": binding.bind_asof}
+    found = [binding.agreement(first, how(clicks, held)).withColumn("pair", F.lit(name)) for name, how in pairs.items()]
+    return found[0].unionByName(found[1])
+
+
+def latest_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = intervals(spark, sf_dir)
+    moment = lambda t: F.lit(t).cast("timestamp")
+    newest = rows.withColumns({"ingested_at": moment("2024-03-02"), "src_file": F.lit("v2")})
+    older = rows.withColumns({"price": (F.col("price") + 1).cast("decimal(12,2)"), "ingested_at": moment("2024-03-01"), "src_file": F.lit("v1")})
+    empty = newest.where("change_reason = 'increase'").withColumn("effective_end", F.col("effective_start"))
+    return prices.latest_intervals(newest.unionByName(older).unionByName(empty)).select(*INTERVAL_COLUMNS.split(", "))
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nothing = F.lit(None).cast("string")
+    clicks = fixtures.clickstream(spark, sf_dir).withColumns({"_rescued_data": nothing, "_batch_id": F.lit("x")})
+    catalog = intervals(spark, sf_dir).withColumn("_rescued_data", nothing)
+    return quality.expectation_counts(clicks, "clickstream", quality.CLICKSTREAM).unionByName(quality.expectation_counts(catalog, "price_catalog", quality.CATALOG))
+
+
+def batch_id_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = ["s3://b/dt=2024-01-01/hh=05/min5=10/part-0.json", "/v/dt=2024-12-31/hh=23/min5=55/x.json", "/v/2024-12-31/x.json", None]
+    return spark.createDataFrame([(p,) for p in paths], "p string").withColumn("batch_id", layout.batch_id(F.col("p")))
+
+
+def changed_live(rows: DataFrame) -> DataFrame:
+    return rows.where("category_id <> '3'").withColumn("purchases", F.col("purchases") + 1)
+
+
+def q3_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frozen = hourly(spark, sf_dir)
+    return gold.drift(frozen, changed_live(frozen))
+
+
+def audit_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hourly(spark, sf_dir)
+    top = gold.top_category(rows).select(F.col("category_id").alias("_top"))
+    return gold.reading(rows.join(F.broadcast(top)), F.col("_top"))
+
+
+def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Freeze, change the live table, and read every side again."""
+    root = workspace(spark, "audit")
+    live = Table(spark, f"{root}/gold/hourly", "gold")
+    live.create(hourly(spark, sf_dir), ("event_hour", "product_id"))
+    frozen = live.clone(f"{root}/audit/hourly", 0)
+    live.update(F.lit(True), {"purchases": F.col("purchases") + 1})
+    changed = live.delete(F.col("category_id") == "3")
+    restored = live.restore(0)
+    sides = {"1 before": live.read(0), "2 live": live.read(changed), "3 version 0": live.read(0), "4 frozen": frozen.read(), "5 restored": live.read(restored)}
+    found = [gold.reading(rows, "").select(F.lit(step).alias("step"), "n_rows", "purchases", "revenue") for step, rows in sides.items()]
+    every = found[0]
+    for rows in found[1:]:
+        every = every.unionByName(rows)
+    return every
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land batches of six hours, ingest them twice (the second run finds nothing new), and sum by batch."""
+    root = workspace(spark, "ingest")
+    land(fixtures.clickstream(spark, sf_dir), f"{root}/landing", 360)
+    table = Table(spark, f"{root}/bronze/clickstream", "bronze")
+    for _ in range(2):
+        ingest(spark, f"{root}/landing", table, f"{root}/checkpoint")
+    return table.read().groupBy(F.col("_batch_id").alias("batch_id")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("price") * 100).cast("long")).alias("cents"))
+
+
+def partition_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.partition_skew(deduped(spark, sf_dir), "user_id")
+
+
+_Q: dict[str, Query] = {
+    "replay_window": lambda s, d: prices.replay_window(fixtures.clickstream(s, d), RULES.replay_days).select("event_id", "event_time", "event_type", "product_id", "price"),
+    "micro_batches": lambda s, d: prices.micro_batches(fixtures.clickstream(s, d), RULES.batch_minutes).groupBy("dt", "hh", "min5").agg(F.count("*").alias("n")),
+    "priced_events": lambda s, d: prices.priced_events(deduped(s, d)),
+    "dedup": lambda s, d: deduped(s, d).select("event_id", "event_time", "user_id", "product_id", "event_type", "price"),
+    "sessionize": lambda s, d: sessionized(s, d).select("event_id", "user_id", "event_time", "gap_s", "session_seq", "session_key"),
+    "session_stats": lambda s, d: sessions.session_stats(sessionized(s, d)),
+    "session_disagreement": lambda s, d: sessions.session_disagreement(sessionized(s, d)),
+    "most_split_session": lambda s, d: sessions.most_split(sessionized(s, d)),
+    "events_per_user": lambda s, d: sessions.events_per_user(deduped(s, d)),
+    "price_intervals": intervals,
+    "tie_intervals_lineitem": lambda s, d: prices.price_intervals(prices.priced_events(fixtures.part_prices(s, d)), RULES.noise_cents),
+    "interval_reasons": lambda s, d: intervals(s, d).groupBy("change_reason").agg(F.count("*").alias("intervals"), F.count_distinct("product_id").alias("products"), F.count_if(F.col("effective_end").isNull()).alias("open_ended")),
+    "changed_products": lambda s, d: prices.changed_products(intervals(s, d), RULES.significant_change),
+    "latest_intervals": latest_intervals,
+    "closed_intervals": lambda s, d: closed(s, d).select("product_id", "effective_start", "effective_until"),
+    "bind_broadcast": lambda s, d: silver(s, d, binding.bind_broadcast),
+    "bind_binned": lambda s, d: silver(s, d, binding.bind_binned),
+    "bind_asof": silver,
+    "bind_chosen": lambda s, d: silver(s, d, binding.bind),
+    "bind_agreement": bind_agreement,
+    "price_match_accuracy": lambda s, d: binding.price_match(silver(s, d)),
+    "funnel_hourly": hourly,
+    "funnel_totals": lambda s, d: gold.funnel_totals(hourly(s, d)),
+    "category_daily": lambda s, d: gold.category_daily(hourly(s, d)),
+    "salted_rollup": lambda s, d: gold.category_rollup(hourly(s, d), RULES.salt_buckets),
+    "category_share": lambda s, d: gold.category_share(hourly(s, d), F.col("views")),
+    "significant_changes": changes,
+    "change_counts": lambda s, d: gold.change_counts(changes(s, d)),
+    "q1_elasticity": measured,
+    "q1_floor_stats": lambda s, d: gold.floor_stats(measured(s, d), RULES),
+    "q1_report": lambda s, d: gold.elasticity_report(measured(s, d), 1, RULES.significant_change),
+    "carts_after_increase": lambda s, d: gold.carts_after_increase(silver(s, d), increases(s, d), RULES.abandonment_minutes),
+    "latest_increase": lambda s, d: gold.latest_increase_only(gold.carts_after_increase(silver(s, d), increases(s, d), RULES.abandonment_minutes)),
+    "q2_abandoned": lambda s, d: gold.abandoned_carts(silver(s, d), increases(s, d), RULES.abandonment_minutes),
+    "q2_report": lambda s, d: gold.abandonment_report(gold.abandoned_carts(silver(s, d), increases(s, d), RULES.abandonment_minutes)),
+    "q2_funnel": lambda s, d: gold.abandonment_funnel(silver(s, d), increases(s, d), RULES.abandonment_minutes),
+    "dirt_profile": lambda s, d: quality.dirt_profile(fixtures.clickstream(s, d)),
+    "quality_rules": quality_rules,
+    "batch_id_from_path": batch_id_from_path,
+    "day_probe": lambda s, d: layout.day_probe(fixtures.clickstream(s, d), "event_time", 3).select("event_id", "event_time"),
+    "q3_drift": q3_drift,
+    "audit_reading": audit_reading,
+    "time_travel": time_travel,
+    "stream_ingest": stream_ingest,
+    "partition_skew": partition_skew,
+}
+
+
+def _pinned(query: Query) -> Query:
+    return lambda spark, sf_dir: plain(query(fixtures.pin_utc(spark), sf_dir))
+
+
+QUERIES: dict[str, Query] = {name: _pinned(query) for name, query in _Q.items()}
