@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-EVENT = T._parse_datatype_string(
-    "event_time timestamp, event_type string, product_id string, category_id string, category_code string, "
-    "brand string, price double, user_id string, user_session string"
+EVENT = T.StructType(
+    [
+        T.StructField("event_time", T.TimestampType()),
+        *[T.StructField(c, T.StringType()) for c in ("event_type", "product_id", "category_id", "category_code", "brand")],
+        T.StructField("price", T.DoubleType()),
+        *[T.StructField(c, T.StringType()) for c in ("user_id", "user_session")],
+    ]
 )
-INTERVAL = T._parse_datatype_string(
-    "product_id string, price decimal(12,2), effective_start timestamp, effective_end timestamp, change_reason string, pct_change double"
+INTERVAL = T.StructType(
+    [
+        T.StructField("product_id", T.StringType()),
+        T.StructField("price", T.DecimalType(12, 2)),
+        T.StructField("effective_start", T.TimestampType()),
+        T.StructField("effective_end", T.TimestampType()),
+        T.StructField("change_reason", T.StringType()),
+        T.StructField("pct_change", T.DoubleType()),
+    ]
 )
 RESCUED = "_rescued_data"
 
