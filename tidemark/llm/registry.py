@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, forest, id_matrix, packing, quality, repeats, simhash, token_cache, toxicity
+from tidemark.llm import bpe, chat, forest, id_matrix, oracles, packing, quality, repeats, simhash, token_cache, toxicity
 
 QUERIES = {
     "op1_divergence_rules": quality.op1_divergence_rules,
@@ -16,4 +16,8 @@ QUERIES = {
     "op9_projection_forest": forest.op9_projection_forest,
     "op10_suffix_dedup": repeats.op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {"op2_chat_templates": chat.OP2_SQL}
+ORACLES: dict[str, str] = {
+    "op1_divergence_rules": oracles.OP1,
+    "op2_chat_templates": chat.OP2_SQL,
+    "op9_projection_forest": oracles.OP9,
+}
