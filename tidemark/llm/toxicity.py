@@ -20,8 +20,8 @@ from tidemark.llm.common import documents, field, id_and_text, map_rows, tune
 
 #: The bounded sample that a model is fitted on: texts of each label, and the longest text of it.
 TOXIC_SAMPLE, ORDINARY_SAMPLE, LONGEST = 1500, 3000, 20_000
-WINDOW_WORDS, GRAMS, LEVEL = 16, (5, 6, 7, 8), 6
-ORDINARY_BYTES, TOXIC_BYTES = 32_768, 4096
+WINDOW_WORDS, GRAMS, LEVEL = 24, (5, 6, 7, 8), 6
+ORDINARY_BYTES, TOXIC_BYTES = 131_072, 1024
 #: Nats of evidence (a Chernoff bound against chance) that a beginning of words needs to count as toxic.
 EVIDENCE = 11.0
 
