@@ -23,12 +23,24 @@ def deduplicate(events: DataFrame) -> DataFrame:
 
 
 def sessionize(events: DataFrame, gap_seconds: int) -> DataFrame:
-    """Add gap_s, session_seq (from 1) and session_key: a session ends when the next whole-second gap is longer."""
-    own = Window.partitionBy("user_id").orderBy("event_time", "event_type", "product_id")
-    gap = seconds(F.col("event_time")) - seconds(F.lag("event_time").over(own))
-    marked = events.withColumn("gap_s", gap).withColumn("_new", F.when(F.col("gap_s") <= gap_seconds, 0).otherwise(1))
-    numbered = marked.withColumn("session_seq", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    return numbered.drop("_new").withColumn("session_key", F.concat_ws("#", "user_id", F.col("session_seq").cast("string")))
+    """Add gap_s, session_seq (from 1) and session_key: a session ends when the next whole-second gap is longer.
+
+    A user may hold most of the rows, so histories are cut into days: gaps and sessions are counted within each day, the
+    days of a user are chained (a row a day), and every row gets its day's number of sessions before.
+    """
+    own = Window.partitionBy("user_id", "_day").orderBy("event_time", "event_type", "product_id")
+    at = seconds(F.col("event_time"))
+    days = events.withColumn("_day", F.to_date("event_time")).withColumn("_gap", at - F.lag(at).over(own))
+    parts = days.groupBy("user_id", "_day").agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.count_if(F.col("_gap") > gap_seconds).alias("_inner"))
+    chain = Window.partitionBy("user_id").orderBy("_day")
+    parts = parts.withColumn("_from", F.col("_first") - F.lag("_last").over(chain)).withColumn("_opens", F.when(F.col("_from") <= gap_seconds, 0).otherwise(1))
+    so_far = F.sum(F.col("_opens") + F.col("_inner")).over(chain.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("user_id", "_day", "_from", (F.coalesce(so_far, F.lit(0)) + F.col("_opens")).alias("_base"))
+    inner = F.sum(F.when(F.col("_gap") > gap_seconds, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    joined = days.withColumn("_in_day", inner).join(parts, ["user_id", "_day"])
+    numbered = joined.withColumns({"gap_s": F.coalesce("_gap", "_from"), "session_seq": (F.col("_base") + F.col("_in_day")).cast("long")})
+    keyed = numbered.withColumn("session_key", F.concat_ws("#", "user_id", F.col("session_seq").cast("string")))
+    return keyed.select(*events.columns, "gap_s", "session_seq", "session_key")
 
 
 def session_stats(sessions: DataFrame) -> DataFrame:

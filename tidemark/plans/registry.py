@@ -43,7 +43,12 @@ def closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.closed_intervals(intervals(spark, sf_dir), deduped(spark, sf_dir))
 
 
-def silver(spark: SparkSession, sf_dir: str, how: Callable = binding.bind_asof) -> DataFrame:
+def by_day(clicks: DataFrame, held: DataFrame) -> DataFrame:
+    """Bins of a day: no table is gathered, and a hot product is spread over its days."""
+    return binding.bind_binned(clicks, held, 86_400)
+
+
+def silver(spark: SparkSession, sf_dir: str, how: Callable = by_day) -> DataFrame:
     return binding.to_silver(how(sessionized(spark, sf_dir), closed(spark, sf_dir)))
 
 
@@ -159,7 +164,7 @@ _Q: dict[str, Query] = {
     "closed_intervals": lambda s, d: closed(s, d).select("product_id", "effective_start", "effective_until"),
     "bind_broadcast": lambda s, d: silver(s, d, binding.bind_broadcast),
     "bind_binned": lambda s, d: silver(s, d, binding.bind_binned),
-    "bind_asof": silver,
+    "bind_asof": lambda s, d: silver(s, d, binding.bind_asof),
     "bind_chosen": lambda s, d: silver(s, d, binding.bind),
     "bind_agreement": bind_agreement,
     "price_match_accuracy": lambda s, d: binding.price_match(silver(s, d)),
