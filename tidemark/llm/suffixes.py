@@ -78,11 +78,17 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int) -> np.nda
     order = suffix_array(text)
     order = order[wanted[order]]
     a, b = order[:-1], order[1:]
+    # Symbols are compared by words of as many as fit 63 bits.
+    bits = int(text.max()).bit_length() if len(text) else 1
+    per_word = min(length, 63 // bits)
+    word = text
+    for k in range(1, per_word):
+        word = (word[:-1] << bits) | text[k:]
     same = np.arange(len(a))
-    for at in (length - 1, length // 2, *range(length)):  # nearly all pairs part at the first tests
+    for at in (length - per_word, (length - per_word) // 2, *range(0, length - per_word, per_word)):  # nearly all pairs part at the first
         if not len(same):
             break
-        same = same[text[a[same] + at] == text[b[same] + at]]
+        same = same[word[a[same] + at] == word[b[same] + at]]
     repeated = np.zeros(len(text), bool)
     repeated[a[same]] = True
     repeated[b[same]] = True
