@@ -115,6 +115,29 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_copies_at_the_similarity(spark):
+    """Copies at Jaccard 0.8 to 0.95, most of them over 4 bits apart, are joined; texts below 0.8 are not."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append(" ".join(words))
+        for changes in (2, 5, 12):  # each change parts five shingles of 296
+            copy = list(words)
+            for k in rng.sample(range(0, 295, 10), changes):
+                copy[k] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    rows += [rows[0].upper(), "", " ", "few words", "FEW words"]
+    sets = [simhash.shingle_set(t) for t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if simhash.similar(sets[i], sets[j])]
+    prints = [simhash.fingerprint(t) for t in rows]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 4 for i, j in pairs) > 40
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == united(range(len(rows)), pairs)
+    assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
 def test_forest_of_edges_needs_no_pairs():
     asked = Counter()
 

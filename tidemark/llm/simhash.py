@@ -9,6 +9,7 @@ into one cell per choice; within a cell the Manhattan distance is the first test
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -27,27 +28,44 @@ SEGMENTS, RADIUS, WORDS, SEED = 32, 4, 4, 42
 SAME = 6 / 16
 #: Fingerprints of a cell that one task compares; larger cells are dealt into tiles.
 CELL_LIMIT = 20_000
+#: What links two texts of the pipeline: shingles of so many words, Jaccard similarity in percent.
+COPY_WORDS, COPY_PERCENT = 5, 80
+#: Bands of so many least hashes: of pairs at the similarity itself one in 2,900 shares no band.
+BANDS, BAND_ROWS = 20, 5
 
 
-def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
-    """Bits set in over half the XXH64 hashes of the text's shingles of ``words`` words, repeats included."""
+def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 hashes of the text's shingles of ``words`` words, repeats included, in bounded arrays; a shorter text is
+    one shingle, a text without a word has none."""
     from xxhash import xxh64_intdigest
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
-    if len(parts) <= words:
-        return xxh64_intdigest(b" ".join(parts), seed)
+        return
     line = b" ".join(parts)
+    if len(parts) <= words:
+        yield np.array([xxh64_intdigest(line, seed)], np.uint64)
+        return
     starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1))).tolist()
     ends = starts[words:]
-    counts, n = np.zeros(64, np.int64), len(ends)
-    for i in range(0, n, 8192):
-        hashes = np.array([xxh64_intdigest(line[s : e - 1], seed) for s, e in zip(starts[i : i + 8192], ends[i : i + 8192])], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for i in range(0, len(ends), 8192):
+        yield np.array([xxh64_intdigest(line[s : e - 1], seed) for s, e in zip(starts[i : i + 8192], ends[i : i + 8192])], np.uint64)
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """Bits set in over half the hashes; 0 without any."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
+    """Bits set in over half the XXH64 hashes of the text's shingles of ``words`` words, repeats included."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``fingerprint`` (long, the 64 bits) to every row; no shuffle.  Texts without a word, null ones among them,
     have fingerprint 0."""
@@ -150,6 +168,105 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radiu
     return marked.join(of_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def shingle_set(text: str, words: int = COPY_WORDS, seed: int = SEED) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words, seed)]))
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int = COPY_PERCENT) -> bool:
+    """Whether two sets have this Jaccard similarity; empty ones are equal."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key (signed 64 bits) of every band of least hashes; an empty set has none."""
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return []
+    rng = np.random.default_rng(SEED)
+    factor, shift = rng.integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[i : i + 4096, None] * factor + shift).min(axis=0), out=least)
+    return np.array([xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, -1))], np.uint64).view(np.int64).tolist()
+
+
+def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of every row: the least doc_id of the rows reachable over texts whose sets of shingles have
+    a Jaccard similarity of ``percent``.
+
+    At that similarity fingerprints differ in some 5 to 13 of 64 bits; the grid of such a radius has cells of a tenth of
+    all rows.  So candidates are fingerprints within ``RADIUS`` and sets that share a band of least hashes, there held
+    against two centres of the band's group (the least and the greatest set by hash), never pair by pair.  Every
+    candidate is compared exactly.  Texts of one set are one node however many they are.  Ids must be unique and not
+    null (row numbers, say).
+    """
+    scratch = Scratch(docs.sparkSession, "copies")
+    rows = id_and_text(docs, id_col, text_col)
+
+    def make():
+        from xxhash import xxh64_intdigest
+
+        def work(texts):
+            sets, prints = [], []
+            for t in texts:
+                hashes = list(shingle_hashes(t, words))
+                prints.append(majority(hashes))
+                sets.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes])))
+            return {
+                "node": np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64),
+                "n": [len(s) for s in sets],
+                "fingerprint": np.array(prints, np.uint64).view(np.int64),
+                "bands": [band_keys(s) for s in sets],
+            }
+
+        return work
+
+    fields = [field("node", "long"), field("n", "long"), field("fingerprint", "long"), T.StructField("bands", T.ArrayType(T.LongType()))]
+    marked = scratch.write(map_rows(rows, make, fields, keep=["doc_id"]), "marked")
+    # Texts of one set have one number of shingles and the same bands; their fingerprints may differ by repeats.
+    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
+    distinct = scratch.write(distinct, "distinct")
+
+    prints = scratch.write(distinct.groupBy("fingerprint").agg(F.min("node").alias("m")), "prints")
+    edges = scratch.write(links(prints.select("fingerprint"), scratch), "links")
+    ends = edges.join(prints.select(F.col("fingerprint").alias("a"), F.col("m").alias("u")), "a").join(prints.select(F.col("fingerprint").alias("b"), F.col("m").alias("v")), "b")
+    pairs = ends.select("u", "v").unionByName(distinct.join(prints, "fingerprint").select(F.col("node").alias("u"), F.col("m").alias("v")))
+    banded = distinct.select("node", F.posexplode("bands").alias("band", "key"))
+    centres = banded.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = banded.join(scratch.write(centres, "centres"), ["band", "key"])
+    pairs = pairs.unionByName(met.select(F.col("node").alias("u"), F.explode(F.array("low", "high")).alias("v")))
+    pairs = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    sizes = lambda end: distinct.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"))
+    # Sets whose sizes are further apart than the similarity can't have it.
+    pairs = pairs.join(sizes("u"), "u").join(sizes("v"), "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")).select("u", "v")
+    pairs = scratch.write(pairs, "pairs")
+
+    # Sets of the candidates only, out of one text each.
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    one_each = distinct.select("node", F.col("least_id").alias("doc_id")).join(wanted, "node")
+
+    def read():
+        return lambda texts: {"set": [shingle_set(t, words).tobytes() for t in texts]}
+
+    sets = scratch.write(map_rows(rows.join(one_each, "doc_id"), read, [field("set", "binary")], keep=["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
+
+    def verify(batches):
+        for b in batches:
+            of = zip(b.column("set_u").to_pylist(), b.column("set_v").to_pylist(), strict=True)
+            is_copy = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in of], pa.bool_())
+            yield b.select(["u", "v"]).filter(is_copy)
+
+    found = scratch.write(both.select("u", "v", "set_u", "set_v").mapInArrow(verify, T.StructType([field("u", "long"), field("v", "long")])), "found")
+    joined = components(found, scratch)
+    named = distinct.select("node", "least_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    of_node = scratch.write(named.join(names, "component").select("node", "component_id"), "named")
+    return marked.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
+
+
 def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
