@@ -173,6 +173,25 @@ def test_few_sequences():
             assert sum(bins.values()) <= -(-sum(lengths) // capacity) * 1.02 + 1
 
 
+def test_local_search_ends_by_itself():
+    """No exchange is left, however many that takes: over 4000 here."""
+    rng = np.random.default_rng(3)
+    counts = Counter(rng.integers(200, 701, 20_000).tolist())
+    made, exchange = [], packing._exchange
+    packing._exchange = lambda *a: made.append(1) or exchange(*a)
+    try:
+        bins = packing.plan_bins(counts, 1024)
+    finally:
+        packing._exchange = exchange
+    assert len(made) > 4000
+    assert sum((Counter({length: n * b.count(length) for length in set(b)}) for b, n in bins.items()), Counter()) == counts
+    least = sorted((b for b in bins if sum(b) < 1024), key=lambda b: (sum(b), b))
+    for k, giver in enumerate(least):
+        for taker in least[k:]:
+            if giver != taker or bins[giver] > 1:
+                assert exchange(giver, taker, 1024 - sum(taker)) is None
+
+
 def test_local_search_empties_bins():
     """Exchanges alone bring a bad packing to the least number of bins, and never lower the sum of squares."""
     bad = Counter({(6, 2): 2, (4, 3): 2, (5,): 2, (7,): 1, (3,): 1, (3, 2): 2})

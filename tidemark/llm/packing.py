@@ -8,6 +8,7 @@ among the pieces of their length, which needs counts by task and length, not a g
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 
@@ -23,8 +24,6 @@ from tidemark.llm.ranks import encoder_for, ranks_are_equivalent
 from tidemark.llm.segments import vocabulary_path
 
 VOCABULARY, CAPACITY, END_ID = "byte_bpe_50k.json", 1024, 2
-#: Exchanges the search makes at most; it bounds the plan's size and time, never the pieces that are placed.
-MAX_EXCHANGES = 4000
 
 Bin = tuple[int, ...]  # lengths, descending
 
@@ -92,43 +91,120 @@ def _exchange(giver: Bin, taker: Bin, gap: int) -> tuple[int, Bin, Bin] | None:
     return best[0], order(left), order(held)
 
 
-def local_search(bins: Counter[Bin], capacity: int, limit: int = MAX_EXCHANGES) -> Counter[Bin]:
-    """Exchange between underfull bins while the sum of squared fills rises; emptied bins go.
+def _masks(bin_: Bin, capacity: int) -> tuple[int, int]:
+    """Bits of the amounts that a bin can give (one length, or two together) and of those that it can take: into its gap,
+    or into the gap and the place of one length that it gives back."""
+    gives, takes, own = 0, 0, Counter(bin_)
+    lengths = list(own)
+    for i, x in enumerate(lengths):
+        gives |= 1 << x
+        for z in lengths[i:]:
+            if x != z or own[x] > 1:
+                gives |= 1 << x + z
+    gap = (1 << capacity - sum(bin_)) - 1
+    for y in (0, *lengths):
+        takes |= gap << y + 1
+    return gives, takes & (1 << capacity + 1) - 1
+
+
+class _Open:
+    """Classes of underfull bins: their numbers, fills and masks, row by row."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.bytes = capacity, 8 * (capacity // 64 + 1)
+        self.row: dict[Bin, int] = {}
+        self.bins: list[Bin | None] = []
+        self.free: list[int] = []
+        self.n = np.zeros(0, np.int64)
+        self.fill = np.zeros(0, np.int64)
+        self.gives = self.takes = np.zeros((0, self.bytes // 8), np.uint64)
+
+    def add(self, bin_: Bin, n: int) -> None:
+        if bin_ not in self.row:
+            if not self.free:
+                more = max(64, len(self.n))
+                self.free = list(range(len(self.n) + more - 1, len(self.n) - 1, -1))
+                self.bins += [None] * more
+                for name in ("n", "fill", "gives", "takes"):
+                    old = getattr(self, name)
+                    setattr(self, name, np.concatenate((old, np.zeros((more, *old.shape[1:]), old.dtype))))
+            k = self.row[bin_] = self.free.pop()
+            self.bins[k], self.fill[k] = bin_, sum(bin_)
+            self.gives[k], self.takes[k] = (np.frombuffer(m.to_bytes(self.bytes, "little"), np.uint64) for m in _masks(bin_, self.capacity))
+        k = self.row[bin_]
+        self.n[k] += n
+        if not self.n[k]:
+            self.gives[k] = self.takes[k] = 0
+            self.bins[k] = None
+            self.free.append(self.row.pop(bin_))
+
+    def taker(self, giver: Bin) -> Bin | None:
+        """The fullest class, at least as full, that can take something of this one."""
+        g = self.row[giver]
+        some = np.flatnonzero(self.gives[g])
+        hit = ((self.takes[:, some] & self.gives[g, some]) != 0).any(axis=1) & (self.fill >= self.fill[g])
+        hit[g] &= self.n[g] > 1
+        at = np.flatnonzero(hit)
+        if not len(at):
+            return None
+        at = at[self.fill[at] == self.fill[at].max()]
+        return min(self.bins[k] for k in at)
+
+    def givers(self, taker: Bin) -> list[Bin]:
+        """The classes, at most as full, of which this one can take something."""
+        t = self.row[taker]
+        some = np.flatnonzero(self.takes[t])
+        hit = ((self.gives[:, some] & self.takes[t, some]) != 0).any(axis=1) & (self.fill <= self.fill[t])
+        return [self.bins[k] for k in np.flatnonzero(hit)]
+
+
+def local_search(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
+    """Exchange between underfull bins until no exchange raises the sum of squared fills; emptied bins go.
 
     The taker is at least as full as the giver, so a gain g raises the sum by 2g(taker - giver + g) > 0.  A bin's fill
-    is at most the capacity, so the sum is bounded and the search ends by itself.
+    is at most the capacity, so the sum is bounded and the search ends by itself.  A class that found no taker is looked
+    at again only when a class appears, or has a second bin, that can take of it.
     """
-    bins = Counter(bins)
     full: Counter[Bin] = Counter({b: n for b, n in bins.items() if sum(b) == capacity})
-    open_ = Counter({b: n for b, n in bins.items() if sum(b) < capacity})
-    tried: set[tuple[Bin, Bin]] = set()
-    for _ in range(limit):
-        order = sorted(open_, key=lambda b: (-sum(b), b))
-        found = None
-        for giver in reversed(order):  # empty the least full first
-            for taker in order:
-                if sum(taker) < sum(giver) or (giver == taker and open_[giver] < 2) or (giver, taker) in tried:
-                    continue
-                got = _exchange(giver, taker, capacity - sum(taker))
-                if got is None:
-                    tried.add((giver, taker))
-                    continue
-                found = giver, taker, got
-                break
-            if found:
-                break
-        if not found:
-            break
-        giver, taker, (_, left, held) = found
-        n = open_[giver] // 2 if giver == taker else min(open_[giver], open_[taker])
-        for b in (giver, taker):
-            open_[b] -= n
-            if not open_[b]:
-                del open_[b]
+    open_ = _Open(capacity)
+    for b, n in bins.items():
+        if sum(b) < capacity and n:
+            open_.add(b, n)
+    waiting = [(sum(b), b) for b in open_.row]  # empty the least full first
+    heapq.heapify(waiting)
+    queued = set(open_.row)
+
+    def wait(b: Bin) -> None:
+        if b not in queued:
+            queued.add(b)
+            heapq.heappush(waiting, (sum(b), b))
+
+    while waiting:
+        giver = heapq.heappop(waiting)[1]
+        queued.discard(giver)
+        taker = open_.taker(giver) if giver in open_.row else None
+        if taker is None:
+            continue
+        _, left, held = _exchange(giver, taker, capacity - sum(taker))
+        have, takes = int(open_.n[open_.row[giver]]), int(open_.n[open_.row[taker]])
+        n = have // 2 if giver == taker else min(have, takes)
+        open_.add(giver, -n)
+        open_.add(taker, -n)
+        if giver in open_.row:
+            wait(giver)
         for b in (left, held):
-            if b:
-                (full if sum(b) == capacity else open_)[b] += n
-    return full + open_
+            if not b:
+                continue
+            if sum(b) == capacity:
+                full[b] += n
+                continue
+            new = b not in open_.row
+            open_.add(b, n)
+            wait(b)
+            if new:
+                for other in open_.givers(b):
+                    wait(other)
+    return full + Counter({b: int(open_.n[k]) for b, k in open_.row.items()})
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> Counter[Bin]:
