@@ -93,6 +93,21 @@ def test_references_count_all_texts(spark):
     assert got["en"].counts == (*[n for _, n in best], total - sum(n for _, n in best))
 
 
+def test_small_share_has_a_reference_of_its_own(spark):
+    """Texts in another script pass when there are enough to speak for the language, and when nothing speaks for it."""
+    rng = np.random.default_rng(1)
+    prose = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n)) + "."
+    latin = [(i, prose("abcdefgh", 60), "en") for i in range(30)]
+    rows = [(100, prose("абвгдежз", 60), "ru"), (101, prose("абвгдежз", 60), "ru"), (102, prose("αβγδεζηθ", 60), "el"), (103, prose("абвгдежз", 60), None)]
+    df = spark.createDataFrame(latin + rows, "doc_id long, text string, lang string")
+    reference = quality.references(df, least_texts=2)
+    assert set(reference) == {"en", "ru"}
+    got = {r.doc_id: r.kept for r in quality.quality_rules(df, reference).collect()}
+    assert all(got.values())
+    crowd = quality.references(df.where("lang = 'en'"))
+    assert not any(r.kept for r in quality.quality_rules(df.where("doc_id >= 100"), {None: crowd[None]}).collect())
+
+
 # ---------------------------------------------------------------- chat
 
 

@@ -26,6 +26,8 @@ SYMBOLS = "#*$%&|<>"
 #: compared with the reference of all.
 LANGUAGE_SHARE = 0.001
 COMMON_WORDS = 64
+#: Where references go by an absolute amount: texts that speak for a language.
+LEAST_TEXTS = 100
 #: Distances from which a text goes, and the shortest text that each test judges.
 MAX_CHARS_DISTANCE, MIN_CHARS = 0.30, 200
 MAX_WORDS_DISTANCE, MIN_WORDS = 0.46, 100
@@ -133,9 +135,13 @@ def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str | None, Reference]:
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_texts: int | None = None) -> dict[str | None, Reference]:
     """References of every language with ``LANGUAGE_SHARE`` of the rows, and under None of all rows: counts over all
-    texts in one pass, summed by task before they are shuffled."""
+    texts in one pass, summed by task before they are shuffled.
+
+    With ``least_texts``, of every named language with so many texts whatever its share, some 2 KB each, and none of all
+    rows: no reference speaks for the other texts.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     rows = _rows(docs, text_col, lang_col)
@@ -173,10 +179,10 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     counted = rows.mapInArrow(count, schema).groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
     counted = scratch.write(counted, "counted")
     n_rows = counted.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    large = [r["lang"] for r in counted.where((F.col("kind") == 2) & (F.col("n") >= F.lit(LANGUAGE_SHARE * n_rows))).select("lang").collect()]  # at most 1000
-    own = counted.where(F.col("lang").isin(large)) if large else counted.limit(0)
+    enough = F.col("n") >= F.lit(LANGUAGE_SHARE * n_rows) if least_texts is None else (F.col("n") >= least_texts) & (F.col("lang") != "")
+    own = counted.join(F.broadcast(counted.where((F.col("kind") == 2) & enough).select("lang")), "lang", "left_semi")
     every = counted.groupBy("kind", "name").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "kind", "name", "n")
-    both = own.unionByName(every).where("kind < 2")
+    both = (own.unionByName(every) if least_texts is None else own).where("kind < 2")
     totals = both.groupBy("lang", "kind").agg(F.sum("n").alias("n")).where("kind = 0").collect()
     words = both.where("kind = 0 and name <> ''")
     order = [F.desc("n"), "name"]
@@ -195,7 +201,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         counts = [n for _, _, n in listed]
         found[lang] = Reference(tuple(classes), {w: k for k, (_, w, _) in enumerate(listed)}, (*counts, total.get(lang, 0) - sum(counts)))
     scratch.drop()
-    return found or {None: Reference((0,) * 9, {}, (0,))}
+    return found or ({None: Reference((0,) * 9, {}, (0,))} if least_texts is None else {})
 
 
 FIELDS = [*[field(n, "long") for n in Base._fields], field("base_failed", "boolean"), field("kept", "boolean")]
@@ -205,7 +211,7 @@ def quality_rules(docs: DataFrame, reference: dict[str | None, Reference], text_
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept to every row; no shuffle.
 
     Null and empty texts have no words and fail.  Rows of unknown or null language are compared with the reference of
-    all rows.  Columns of these names are replaced, other columns may have any name; repeated rows repeat their result.
+    all rows; without one the divergence tests don't speak of them.  Columns of these names are replaced, other columns may have any name; repeated rows repeat their result.
     """
     new = {f.name for f in FIELDS}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
@@ -222,7 +228,8 @@ def quality_rules(docs: DataFrame, reference: dict[str | None, Reference], text_
             out = []
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 base, words = base_counts(text)
-                out.append((*base, base.failed, not base.failed and keeps(text, words, reference.get(lang) or reference[None])))
+                held_to = reference.get(lang) or reference.get(None)
+                out.append((*base, base.failed, not base.failed and (held_to is None or keeps(text, words, held_to))))
             yield pa.RecordBatch.from_arrays([*[b.column(f"c{i}") for i in range(len(kept))], *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], names=schema.names)
 
     made = source.mapInArrow(run, schema)
