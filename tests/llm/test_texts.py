@@ -93,6 +93,20 @@ def test_references_count_all_texts(spark):
     assert got["en"].counts == (*[n for _, n in best], total - sum(n for _, n in best))
 
 
+def test_limits_come_from_the_distances_of_a_language(spark):
+    """Long texts without the language's common words go under measured limits, though 0.46 keeps them."""
+    rng = np.random.default_rng(2)
+    common = "the of and to in it is on that for".split()
+    rare = ["".join(w) for w in rng.choice(list("abcdefgh"), (400, 5))]
+    prose = lambda n: " ".join(f"{rng.choice(common)} {rng.choice(rare)} {rng.choice(rare)} {rng.choice(rare)}" for _ in range(n)) + "."
+    rows = [(i, prose(100), "en") for i in range(300)] + [(1000 + i, " ".join(rng.choice(rare, 400)), "en") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    plain = quality.references(df, least_texts=100)
+    kept = lambda reference: {r.doc_id for r in quality.quality_rules(df, reference).where("kept").collect()}
+    assert kept(plain) == {r[0] for r in rows}
+    assert kept(quality.measured_limits(df, plain)) == set(range(300))
+
+
 def test_small_share_has_a_reference_of_its_own(spark):
     """Texts in another script pass when there are enough to speak for the language, and when nothing speaks for it."""
     rng = np.random.default_rng(1)
@@ -102,7 +116,7 @@ def test_small_share_has_a_reference_of_its_own(spark):
     df = spark.createDataFrame(latin + rows, "doc_id long, text string, lang string")
     reference = quality.references(df, least_texts=2)
     assert set(reference) == {"en", "ru"}
-    got = {r.doc_id: r.kept for r in quality.quality_rules(df, reference).collect()}
+    got = {r.doc_id: r.kept for r in quality.quality_rules(df, quality.measured_limits(df, reference)).collect()}
     assert all(got.values())
     crowd = quality.references(df.where("lang = 'en'"))
     assert not any(r.kept for r in quality.quality_rules(df.where("doc_id >= 100"), {None: crowd[None]}).collect())

@@ -26,8 +26,10 @@ SYMBOLS = "#*$%&|<>"
 #: compared with the reference of all.
 LANGUAGE_SHARE = 0.001
 COMMON_WORDS = 64
-#: Where references go by an absolute amount: texts that speak for a language.
+#: Where references go by an absolute amount: texts that speak for a language, and for the distances of a length.
 LEAST_TEXTS = 100
+#: Measured limits: so many deviations (by the median deviation) above the median, in steps of the distance.
+DEVIATIONS, DISTANCE_STEP = 5, 0.002
 #: Distances from which a text goes, and the shortest text that each test judges.
 MAX_CHARS_DISTANCE, MIN_CHARS = 0.30, 200
 MAX_WORDS_DISTANCE, MIN_WORDS = 0.46, 100
@@ -111,6 +113,17 @@ class Reference(NamedTuple):
     classes: tuple[int, ...]
     words: dict[str, int]
     counts: tuple[int, ...]
+    #: (length class, limit of the word distance from this class on); without any, MAX_WORDS_DISTANCE holds.
+    limits: tuple[tuple[int, float], ...] = ()
+
+    def words_limit(self, n_words: int) -> float:
+        at = length_class(n_words)
+        return next((limit for k, limit in reversed(self.limits) if k <= at), MAX_WORDS_DISTANCE)
+
+
+def length_class(n_words: int) -> int:
+    """Half octaves of the number of words: the distance of a sample from its source falls with its size."""
+    return int(2 * math.log2(max(1, n_words)))
 
 
 def distances(data: bytes, words: list[str], reference: Reference) -> tuple[float, float]:
@@ -128,7 +141,7 @@ def keeps(text: str, words: list[str], reference: Reference) -> bool:
     far_chars, far_words = distances(text.encode(), words, reference)
     if len(text) >= MIN_CHARS and far_chars > MAX_CHARS_DISTANCE:
         return False
-    return len(words) < MIN_WORDS or far_words <= MAX_WORDS_DISTANCE
+    return len(words) < MIN_WORDS or far_words <= reference.words_limit(len(words))
 
 
 def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -204,6 +217,47 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return found or ({None: Reference((0,) * 9, {}, (0,))} if least_texts is None else {})
 
 
+def measured_limits(docs: DataFrame, reference: dict[str | None, Reference], text_col: str = "text", lang_col: str = "lang", least_texts: int = LEAST_TEXTS) -> dict[str | None, Reference]:
+    """The references with limits of the word distance by length, out of the distances of all texts of the language that
+    pass the base counts.  A length class with fewer than ``least_texts`` takes the limit of the class below (shorter
+    texts lie further off); no limit is above MAX_WORDS_DISTANCE."""
+    schema = T.StructType([field("lang", "string"), field("length", "int"), field("step", "int"), field("n", "long")])
+
+    def count(batches):
+        found: Counter[tuple[str, int, int]] = Counter()
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if lang not in reference:
+                    continue
+                base, words = base_counts(text)
+                if not base.failed and len(words) >= MIN_WORDS:
+                    found[lang, length_class(len(words)), round(distances(text.encode(), words, reference[lang])[1] / DISTANCE_STEP)] += 1
+        out = [(*k, n) for k, n in found.items()]
+        for i in range(0, len(out), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 50_000], strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=schema.names)
+
+    tune(docs.sparkSession)
+    counted = _rows(docs, text_col, lang_col).mapInArrow(count, schema).groupBy("lang", "length", "step").agg(F.sum("n").alias("n"))
+    by_length: dict[str, dict[int, list[tuple[int, int]]]] = {}
+    for r in counted.collect():  # at most 1 / DISTANCE_STEP rows by language and length
+        by_length.setdefault(r["lang"], {}).setdefault(r["length"], []).append((r["step"], r["n"]))
+
+    def median(rows: list[tuple[float, int]]) -> float:
+        rows = sorted(rows)
+        until = np.cumsum([n for _, n in rows])
+        return rows[int(np.searchsorted(until, until[-1] / 2))][0]
+
+    def limit(rows: list[tuple[int, int]]) -> float:
+        middle = median(rows)
+        spread = median([(abs(s - middle), n) for s, n in rows])
+        return min(MAX_WORDS_DISTANCE, DISTANCE_STEP * (middle + DEVIATIONS * 1.4826 * max(spread, 1)))
+
+    return {
+        lang: r._replace(limits=tuple((k, limit(rows)) for k, rows in sorted(by_length.get(lang, {}).items()) if sum(n for _, n in rows) >= least_texts))
+        for lang, r in reference.items()
+    }
+
+
 FIELDS = [*[field(n, "long") for n in Base._fields], field("base_failed", "boolean"), field("kept", "boolean")]
 
 
