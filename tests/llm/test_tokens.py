@@ -157,6 +157,14 @@ def test_packing(spark):
     assert packing.pack_documents(rows.limit(0)).count() == 0
 
 
+def test_last_stage_packs_documents_without_text(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words"), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.length for r in corpus_pipeline.pack(spark, docs, "").collect()}
+    assert set(got) == {1, 2, 3} and got[2] == got[3] == 1
+
+
 def test_few_sequences():
     rng = np.random.default_rng(1)
     for capacity, lengths in ((1024, rng.integers(1, 1025, 5000)), (100, rng.choice([34, 33, 51, 49, 7], 999)), (10, [6, 6, 4, 4, 5, 5, 3, 7]), (10, [])):
