@@ -199,6 +199,26 @@ def test_embeddings(spark, monkeypatch, leaf, limit):
     assert all(g[2] == (g[1] == i) for i, g in got.items())
 
 
+@pytest.mark.parametrize("common", [0.0, 0.85])
+def test_trees_hold_their_recall_on_vectors_with_a_common_direction(common):
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = np.sqrt(1 - common) * unit(rng.standard_normal((20_000, 64))) + np.sqrt(common) * unit(rng.standard_normal(64))
+    x = unit(x)
+    away = rng.standard_normal((2000, 64))
+    away = unit(away - (away * x[:2000]).sum(1, keepdims=True) * x[:2000])
+    y = 0.94 * x[:2000] + np.sqrt(1 - 0.94**2) * away
+    trees = forest.fitted_trees(x, len(x), 0.93, 7)
+    met = np.any([t.together(x[:2000], y) == t.depth for t in trees], axis=0)
+    assert met.mean() >= 0.995, (len(trees), trees[0].depth, met.mean())
+    if common:
+        depth, n = forest.forest_shape(len(x))
+        plain = [forest.Tree(x, depth, forest.SPILL, 7000 + t) for t in range(n)]
+        assert np.any([t.together(x[:2000], y) == depth for t in plain], axis=0).mean() < 0.99
+    else:
+        assert trees[0].depth == forest.forest_shape(len(x))[0]
+
+
 def test_embedding_copies_and_empty(spark):
     rows = [(9, [1.0, 2.0], 1)] * 3 + [(4, [2.0, 4.0], 1), (1, [1.0, 2.0], 2), (None, [1.0, 2.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")

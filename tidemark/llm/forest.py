@@ -24,6 +24,9 @@ THRESHOLD = 0.93
 #: Vectors of a dimension that fit the trees (the bound of the sample), vectors a leaf should hold, share of a node's
 #: sample that goes down both sides, and the recall that the number of trees is chosen for, at the threshold itself.
 SAMPLE, LEAF, SPILL, RECALL = 20_000, 400, 0.06, 0.999
+#: Pairs of each kind that parting is measured on, and how many times the trees of ``forest_shape`` may be needed before
+#: another depth is sought.
+MEASURED, MORE_TREES = 500, 4
 #: Vectors of one leaf that a task compares; larger leaves are dealt into tiles.
 LEAF_LIMIT = 1500
 
@@ -56,8 +59,79 @@ class Tree:
         return row, node - (2**self.depth - 1)
 
 
+    def together(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Down to which depth the rows of x and y share a node."""
+        pair, node, deepest = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        for level in range(self.depth):
+            at = np.stack([np.einsum("ij,ij->i", v[pair], self.directions[node]) for v in (x, y)])
+            left, right = (at <= self.high[node]).all(0), (at >= self.low[node]).all(0)
+            pair, node = np.concatenate((pair[left], pair[right])), np.concatenate((2 * node[left] + 1, 2 * node[right] + 2))
+            deepest[pair] = level + 1
+        return deepest
+
+
+def threshold_pairs(points: np.ndarray, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs about the threshold: sample vectors with partners at its angle, in random directions and in directions
+    between sample vectors, and pairs of the sample itself up to half way from there to equality."""
+    rng = np.random.default_rng(seed)
+    x = points[rng.integers(0, len(points), 2 * MEASURED)]
+    away = rng.standard_normal(x.shape)
+    away[MEASURED:] = points[rng.integers(0, len(points), MEASURED)] - points[rng.integers(0, len(points), MEASURED)]
+    away -= np.einsum("ij,ij->i", away, x)[:, None] * x
+    norm = np.linalg.norm(away, axis=1)
+    some = norm > 1e-9
+    x, away = x[some], away[some] / norm[some, None]
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * away
+    first = rng.permutation(len(points))[:2000]
+    found = []
+    for k in range(0, len(first), 250):
+        cosine = points[first[k : k + 250]] @ points.T
+        i, j = np.nonzero((cosine >= threshold) & (cosine <= (1 + threshold) / 2))
+        found += zip(first[k + i].tolist(), j.tolist(), strict=True)
+    own = np.array([found[k] for k in rng.permutation(len(found))[:MEASURED]], np.int64).reshape(-1, 2)
+    return np.concatenate((x, points[own[:, 0]])), np.concatenate((y, points[own[:, 1]]))
+
+
+def fitted_trees(points: np.ndarray, n: int, threshold: float, seed: int, recall: float = RECALL) -> list[Tree]:
+    """The trees for n vectors: those of ``forest_shape``, and more until the measured pairs meet with this recall.
+
+    Splits are at medians, so vectors with a common direction are parted more often than their angle says (and a shift
+    of all vectors changes no split).  Where that needs many more trees, the depth that compares least is taken.
+    """
+    depth, n_trees = forest_shape(n, threshold)
+    # A leaf needs some sample; beyond that the trees grow no further and large leaves are dealt into tiles.
+    depth = min(depth, max(0, int(math.log2(max(1, len(points) / 8)))))
+    x, y = threshold_pairs(points, threshold, seed)
+    tree = lambda t: Tree(points, depth, SPILL, seed * 1000 + t)
+    trees = [tree(t) for t in range(n_trees if depth else 1)]
+    if not depth or not len(x):
+        return trees
+    deepest = [t.together(x, y) for t in trees]
+    enough = lambda: np.any([d == depth for d in deepest], axis=0).mean() >= recall
+    while not enough() and len(trees) < MORE_TREES * n_trees:
+        trees.append(tree(len(trees)))
+        deepest.append(trees[-1].together(x, y))
+    if enough():
+        return trees
+    shares = np.stack(deepest)
+
+    def needed(d: int) -> int:
+        parted = 1 - np.maximum((shares >= d).mean(0), 0.5 / len(shares))
+        return 1 if not d else next(t for t in range(1, 100_000) if (parted**t).mean() <= 1 - recall)
+
+    cost = lambda d: needed(d) * (n / 2**d + LEAF) * (1 + SPILL) ** d
+    depth = min(range(depth + 1), key=cost)
+    trees = [tree(t) for t in range(needed(depth))]
+    met = np.any([t.together(x, y) == depth for t in trees], axis=0)
+    while met.mean() < recall:
+        trees.append(tree(len(trees)))
+        met |= trees[-1].together(x, y) == depth
+    return trees
+
+
 def forest_shape(n: int, threshold: float = THRESHOLD, leaf: int = LEAF, recall: float = RECALL) -> tuple[int, int]:
-    """(depth, trees): a split parts two vectors at the threshold's angle with probability angle / pi at most."""
+    """(depth, trees) to begin with: a split through the centre of centred vectors parts two of them at the threshold's
+    angle with probability angle / pi at most."""
     depth = max(0, math.ceil(math.log2(max(1, n / leaf))))
     stays = (1 - math.acos(threshold) / math.pi) ** depth
     trees = 1 if depth == 0 else max(4, math.ceil(math.log(1 - recall) / math.log(1 - stays)))
@@ -143,11 +217,8 @@ def _links_of(nodes: DataFrame, dim: int, threshold: float, seed: int, scratch:
     A pair that meets in several leaves is counted in the first of them only: every row carries the list of its leaves.
     """
     sample = nodes.select("unit").orderBy(F.xxhash64("digest", F.lit(seed)), "digest").limit(SAMPLE).collect()
-    depth, n_trees = forest_shape(nodes.count(), threshold)
     points = np.frombuffer(b"".join(r["unit"] for r in sample), np.float64).reshape(-1, dim)
-    # A leaf needs some sample; beyond that the trees grow no further and large leaves are dealt into tiles.
-    depth = min(depth, max(0, int(math.log2(max(1, len(points) / 8)))))
-    trees = [Tree(points, depth, SPILL, seed * 1000 + t) for t in range(n_trees)]
+    trees = fitted_trees(points, nodes.count(), threshold, seed)
     shared = nodes.sparkSession.sparkContext.broadcast(trees)  # at most 8 * trees * SAMPLE / 8 * dim bytes
     fields = [T.StructField("leaf", T.LongType())] + [nodes.schema[c] for c in ("label", "node", "copies", "unit")] + [T.StructField("leaves", T.BinaryType())]
 
