@@ -34,4 +34,4 @@ def test_query_equals_its_sql(spark, db, name):
 
 
 def test_all_but_runtime_queries_have_sql():
-    assert set(QUERIES) - set(ORACLES) == {"partition_skew"}
+    assert set(QUERIES) - set(ORACLES) == {"orchestrated_run"}

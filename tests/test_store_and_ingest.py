@@ -91,7 +91,7 @@ def test_version_at(table):
 
 
 def test_retention(table):
-    table.set_properties(retention_days="7")
+    table.set_properties(log="1 week")
     assert table.violations()
 
 
@@ -111,10 +111,14 @@ def test_ingest_reads_each_file_once(spark):
     got = table.read()
     assert got.count() == 4
     assert {r._batch_id for r in got.collect()} == {"2024-01-01T00:00", "2024-01-01T00:05", "2024-01-01T00:10", "2024-01-01T00:20"}
-    epoch = table.entry().detail
+    (key,) = [p for p in table.entry().properties if p.startswith("epoch of ")]
     before = table.versions()
-    table.append_once(got, epoch)
+    table.append_once(got, key.removeprefix("epoch of "), int(table.entry().properties[key]))
     assert table.versions() == before
+    # A new checkpoint is another query: its epochs start at 0 again, and its batches are not taken for known ones.
+    log = ingest(spark, f"{root}/in", table, f"{root}/check2")
+    assert table.read().count() == 8
+    assert {r.rule: r.failed for r in log.collect()}["brand_present"] == 4
 
 
 def test_rescued_fields(spark, tmp_path):

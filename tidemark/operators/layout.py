@@ -18,24 +18,23 @@ def batch_id(path: Column) -> Column:
 
 def with_audit_columns(rows: DataFrame, in_batches: bool = True) -> DataFrame:
     """Add the source file, the micro-batch (where files lie in batches), and when the row was read."""
-    columns = {"_src_file": F.col("_metadata.file_path"), "_ingested_at": F.current_timestamp(), "ingest_date": F.current_date()}
+    columns = {"_src_file": F.col("_metadata.file_path"), "_src_bytes": F.col("_metadata.file_size"), "_ingested_at": F.current_timestamp(), "ingest_date": F.current_date()}
     if in_batches:
         columns["_batch_id"] = batch_id(F.col("_metadata.file_path"))
     return rows.withColumns(columns)
 
 
 def day_probe(rows: DataFrame, time_column: str, day: int) -> DataFrame:
-    """Rows of the day number ``day`` of the table (0 is the first); the bound is one row that stays in Spark."""
-    first = rows.agg(F.date_trunc("day", F.min(time_column)).alias("_first"))
-    start = F.col("_first") + F.make_dt_interval(F.lit(day))
-    bounded = rows.join(F.broadcast(first), (F.col(time_column) >= start) & (F.col(time_column) < F.col("_first") + F.make_dt_interval(F.lit(day + 1))))
-    return bounded.drop("_first")
+    """Rows of the day number ``day`` of the table (0 is the first); the bounds are scalar subqueries."""
+    bound = lambda d: rows.select(F.date_trunc("day", F.min(time_column)) + F.make_dt_interval(F.lit(d))).scalar()
+    return rows.where((F.col(time_column) >= bound(day)) & (F.col(time_column) < bound(day + 1)))
 
 
-def partition_skew(rows: DataFrame, key: str, n: int = 200) -> DataFrame:
-    """Rows of the fullest and of the median hash partition of a key, and their ratio; counted by partition number
-    without moving the rows."""
-    sizes = rows.groupBy(F.pmod(F.hash(key), F.lit(n)).alias("p")).count()
+def partition_skew(rows: DataFrame, key: str, n: int = 200, part: Column | None = None) -> DataFrame:
+    """Rows of the fullest and of the median partition of a key, and their ratio; counted by partition number without
+    moving the rows.  ``part`` is the partition number, by default that of Spark's hash partitioning."""
+    number = F.pmod(F.hash(key), F.lit(n)) if part is None else part
+    sizes = rows.groupBy(number.alias("p")).agg(F.count("*").alias("count"))
     return sizes.agg(F.max("count").alias("most"), F.percentile_approx("count", 0.5).alias("median")).withColumn("ratio", F.col("most") / F.col("median"))
 
 
@@ -59,3 +58,42 @@ def timed(rows: DataFrame) -> float:
     start = time.perf_counter()
     rows.write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
+
+
+def root_estimate(rows: DataFrame) -> dict[str, int | None]:
+    """What the optimizer expects of a query's root: bytes, and rows where statistics tell."""
+    stats = rows._jdf.queryExecution().optimizedPlan().stats()
+    count = stats.rowCount()
+    return {"bytes": int(str(stats.sizeInBytes())), "rows": int(str(count.get())) if count.isDefined() else None}
+
+
+def completeness(rows: DataFrame) -> DataFrame:
+    """Rows, and how many files and micro-batches they came from."""
+    return rows.agg(F.count("*").alias("n_rows"), F.count_distinct("_src_file").alias("files"), F.count_distinct("_batch_id").alias("batches"))
+
+
+def landing_stats(rows: DataFrame, time_column: str, path: Column) -> DataFrame:
+    """First and last instant as text, rows, files, and micro-batch folders; each folder should hold one file."""
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    found = rows.agg(
+        shown(F.min(time_column)).alias("first_event"),
+        shown(F.max(time_column)).alias("last_event"),
+        F.count("*").alias("n_rows"),
+        F.count_distinct(path).alias("files"),
+        F.count_distinct(batch_id(path)).alias("batches"),
+    )
+    return found.withColumn("one_file_a_batch", F.col("files") == F.col("batches"))
+
+
+def same_rows(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows of each side that the other lacks, counted with repeats: both are 0 for equal bags."""
+    only = lambda a, b, name: a.exceptAll(b).agg(F.count("*").alias(name))
+    return only(first, second, "only_first").crossJoin(only(second, first, "only_second"))  # one row each
+
+
+def file_probe(rows: DataFrame, time_column: str, day: int) -> DataFrame:
+    """Files, their mean bytes, and how many files hold rows of the day number ``day``."""
+    at = rows.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b"), F.col(time_column).alias("t"))
+    start = lambda d: rows.select(F.date_trunc("day", F.min(time_column)) + F.make_dt_interval(F.lit(d))).scalar()
+    by_file = at.groupBy("f").agg(F.max("b").alias("b"), F.count_if((F.col("t") >= start(day)) & (F.col("t") < start(day + 1))).alias("n"))
+    return by_file.agg(F.count("*").alias("files"), F.avg("b").cast("long").alias("mean_bytes"), F.count_if(F.col("n") > 0).alias("files_of_day"), F.sum("n").alias("rows_of_day"))

@@ -52,8 +52,9 @@ def enforce(rows: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
     return rows
 
 
-def dirt_profile(events: DataFrame) -> DataFrame:
-    """Percentages of nulls and the count of prices that are no price."""
+def dirt_profile(events: DataFrame, rescue: str | None = None) -> DataFrame:
+    """Percentages of nulls, the count of prices that are no price, and of rescued rows where a column holds them."""
     pct = lambda c: F.round(100 * F.try_divide(F.count_if(F.col(c).isNull()).cast("double"), F.count("*").cast("double")), 2).alias(f"{c}_null_pct")
     bad = F.count_if(F.coalesce(F.col("price") <= 0, F.lit(True)))
-    return events.agg(F.count("*").alias("n_rows"), *[pct(c) for c in ("category_code", "brand", "user_session", "product_id")], bad.alias("no_price"))
+    lost = [F.count_if(F.col(rescue).isNotNull()).alias("rescued")] if rescue else []
+    return events.agg(F.count("*").alias("n_rows"), *[pct(c) for c in ("category_code", "brand", "user_session", "product_id")], bad.alias("no_price"), *lost)

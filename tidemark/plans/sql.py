@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.operators.evidence import CRITERIA
 from tidemark.operators.quality import CATALOG, CLICKSTREAM
 
 EVENTS = """
@@ -187,5 +188,53 @@ SELECT coalesce(a.category_id, l.category_id) AS category_id, a.p AS frozen_purc
   SELECT '2 live' AS step, {_AUDIT_ROWS} FROM (SELECT purchases + 1 AS purchases, revenue FROM f WHERE category_id <> '3') UNION ALL
   SELECT '3 version 0' AS step, {_AUDIT_ROWS} FROM f UNION ALL SELECT '4 frozen' AS step, {_AUDIT_ROWS} FROM f UNION ALL SELECT '5 restored' AS step, {_AUDIT_ROWS} FROM f)"""),
 }
+_COLUMNS = "event_time, event_type, product_id, category_id, category_code, brand, price, user_id, user_session"
+_SIX = _BATCH.replace("5 MINUTE", "6 HOUR")
+_PARTS = f"strftime({_SIX}, '%Y-%m-%d') AS dt, strftime({_SIX}, '%H') AS hh, strftime({_SIX}, '%M') AS min5"
+_MEASURED = f"""{EVENTS},
+me AS (SELECT CASE WHEN k < 50 THEN 'acceptance_A' || CAST(k % 15 AS VARCHAR) ELSE 'rows_' || category_id END AS metric,
+  CASE WHEN k < 50 THEN CASE WHEN event_type = 'purchase' THEN 'FAIL' ELSE 'PASS' END ELSE CAST(event_id AS VARCHAR) END AS value, event_time AS recorded_at
+  FROM (SELECT *, CAST(product_id AS BIGINT) AS k FROM ev)),
+lm AS (SELECT metric, arg_max(value, (recorded_at, value)) AS value, max(recorded_at) AS recorded_at FROM me WHERE metric LIKE 'acceptance!_%' ESCAPE '!' GROUP BY metric)"""
+_CRITERIA = ", ".join(f"('{c.id}', {str(c.required).lower()})" for c in CRITERIA)
+_DAILY_OF = "(SELECT sum(purchases) AS purchases, sum(revenue) AS revenue FROM f GROUP BY category_id, date_trunc('day', event_hour))"
+
+ORACLES |= {
+    "partition_skew": with_(DEDUPED, ", n AS (SELECT count(*) AS n FROM dd GROUP BY CAST(user_id AS BIGINT) % 64) SELECT max(n) AS most, quantile_disc(n, 0.5) AS median, CAST(max(n) AS DOUBLE) / CAST(quantile_disc(n, 0.5) AS DOUBLE) AS ratio FROM n"),
+    "float_intervals": with_(DEDUPED, """, p1 AS (SELECT product_id, event_time, price, abs(price - lag(price) OVER w) AS step FROM dd WHERE price > 0 WINDOW w AS (PARTITION BY product_id ORDER BY event_time, price))
+SELECT product_id, price, event_time AS effective_start, lead(event_time) OVER (PARTITION BY product_id ORDER BY event_time, price) AS effective_end FROM p1 WHERE step IS NULL OR step > 0.01::DOUBLE"""),
+    "bind_hourly_grid": with_(CLOSED, """, hg AS (SELECT s.*, ci.price AS cp FROM s LEFT JOIN ci ON s.product_id = ci.product_id AND date_trunc('hour', s.event_time) >= ci.effective_start AND date_trunc('hour', s.event_time) < ci.effective_until)
+SELECT event_time, event_type, product_id, category_id, category_code, brand, CAST(price AS DECIMAL(12,2)) AS price_at_event, CAST(cp AS DECIMAL(12,2)) AS catalog_price, CAST(price AS DECIMAL(12,2)) = CAST(cp AS DECIMAL(12,2)) AS price_match, user_id, session_key FROM hg"""),
+    "plain_equals_salted": "SELECT CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second",
+    "audit_report": f"SELECT * FROM ({ORACLES['q3_drift']}) ORDER BY frozen_revenue DESC NULLS LAST, category_id NULLS FIRST LIMIT 50",
+    "longest_sessions": with_(SESSIONS, "SELECT session_key, count(*) AS n FROM s GROUP BY session_key ORDER BY n DESC, session_key LIMIT 20"),
+    "latest_per_metric": with_(_MEASURED, "SELECT * FROM lm"),
+    "latest_overall": with_(_MEASURED, "SELECT metric, value, recorded_at FROM me WHERE metric = 'acceptance_A3' ORDER BY recorded_at DESC, value DESC NULLS LAST LIMIT 1"),
+    "acceptance_gate": with_(_MEASURED, f"""SELECT c.id, coalesce(lm.value, 'NOT RUN') AS status, CASE WHEN required THEN 'required' ELSE 'manual' END AS kind, required AND coalesce(lm.value, 'NOT RUN') <> 'PASS' AS blocks
+  FROM (VALUES {_CRITERIA}) c(id, required) LEFT JOIN lm ON lm.metric = 'acceptance_' || c.id"""),
+    "csv_scan": with_(EVENTS, f"SELECT {_COLUMNS} FROM ev"),
+    "json_scan": with_(EVENTS, f"SELECT {_COLUMNS}, {_PARTS} FROM ev"),
+    "landing_stats": with_(EVENTS, f"SELECT strftime(min(event_time), '%Y-%m-%d %H:%M:%S') AS first_event, strftime(max(event_time), '%Y-%m-%d %H:%M:%S') AS last_event, count(*) AS n_rows, count(DISTINCT {_SIX}) AS files, count(DISTINCT {_SIX}) AS batches, true AS one_file_a_batch FROM ev"),
+    "price_feed": with_(INTERVALS, f"SELECT {INTERVAL_COLUMNS}, CAST(1 AS BIGINT) AS n_files FROM iv"),
+    "completeness": with_(EVENTS, f"SELECT count(*) AS n_rows, count(DISTINCT {_SIX}) AS files, count(DISTINCT {_SIX}) AS batches FROM ev"),
+    "event_log": with_(f"{EVENTS}, qe AS (SELECT *, CAST(NULL AS VARCHAR) AS _rescued_data, 'x' AS _batch_id FROM ev)", f"SELECT rule, CAST(passed + failed AS BIGINT) AS n_rows, failed FROM ({expectations('qe', 'clickstream', CLICKSTREAM)})"),
+    "rescued_profile": with_(EVENTS, f"SELECT count(*) AS n_rows, {_NULL_PCT}, CAST(count(*) FILTER (coalesce(price <= 0, true)) AS BIGINT) AS no_price, CAST(0 AS BIGINT) AS rescued FROM ev"),
+    "table_by_name": ORACLES["funnel_hourly"],
+    "catalog_listing": "SELECT 'hourly' AS \"table\", 'gold' AS layer",
+    "column_statistics": with_(FUNNEL, " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls FROM f" for c in FUNNEL_COLUMNS.split(", "))),
+    "optimizer_estimate": with_(FUNNEL, "SELECT count(*) AS expected_rows FROM f"),
+    "client_report": with_(BOUND, "SELECT event_type, count(*) AS n FROM sv GROUP BY event_type"),
+    "materialized_view": with_(FUNNEL, f"SELECT *, '1 stale' AS step FROM ({_CATEGORY_DAILY}) UNION ALL SELECT *, '2 refreshed' AS step FROM ({_CATEGORY_DAILY}) WHERE category_id <> '3'"),
+    "serving_three_ways": with_(FUNNEL, f"SELECT way, count(*) AS n_rows, CAST(sum(purchases) AS BIGINT) AS purchases, CAST(sum(revenue) AS DECIMAL(18,2)) AS revenue FROM {_DAILY_OF}, (VALUES ('direct'), ('sql'), ('view')) w(way) GROUP BY way"),
+    "evolution_proof": with_(BOUND, "SELECT step, count(*) AS n_rows, CAST(coalesce(sum(catalog_price), 0) AS DECIMAL(18,2)) AS checksum, true AS same_files, true AS empty_column FROM sv, (VALUES ('1 before'), ('2 column added'), ('3 column renamed'), ('4 clustering changed')) t(step) GROUP BY step"),
+    "immutability_proof": "SELECT step, true AS holds FROM (VALUES ('copy equals its version'), ('live has changed'), ('copy stands'), ('time travel stands')) t(step)",
+    "retention_check": "SELECT step, true AS holds FROM (VALUES ('history is kept'), ('nothing can be deleted'), ('copy and time travel agree'), ('proof holds')) t(step)",
+    "freeze_at": with_(FUNNEL, f"SELECT '1 first' AS step, {_AUDIT_ROWS} FROM f UNION ALL SELECT '2 again' AS step, {_AUDIT_ROWS} FROM f UNION ALL SELECT '3 live' AS step, {_AUDIT_ROWS} FROM f WHERE false"),
+    "history_guard": "SELECT 'hourly' AS \"table\", problem FROM (VALUES ('log keeps 2 weeks; gold needs 365 days'), ('deleted_files keeps interval 36 hours; gold needs 365 days')) t(problem)",
+    "layout_probe": with_(FUNNEL, "SELECT count(*) AS rows_of_day, count(*) AS rows_after, true AS fewer_files, true AS fewer_for_day FROM f WHERE event_hour < (SELECT date_trunc('day', min(event_hour)) FROM f) + INTERVAL 1 DAY"),
+    "table_history": "SELECT CAST(version AS BIGINT) AS version, operation FROM (VALUES (0, 'CREATE'), (1, 'DELETE'), (2, 'OPTIMIZE'), (3, 'VACUUM'), (4, 'OPTIMIZE')) t(version, operation)",
+    "last_operation": "SELECT CAST(4 AS BIGINT) AS version, 'OPTIMIZE' AS operation",
+    "clean_up_counts": "SELECT operation, CAST(runs AS BIGINT) AS runs FROM (VALUES ('OPTIMIZE', 2), ('VACUUM', 1)) t(operation, runs)",
+}
 # A statement that goes on with the tables before it begins with a comma.
 ORACLES = {k: v.replace("\n, ", ",\n", 1) if "\n, " in v else v for k, v in ORACLES.items()}
