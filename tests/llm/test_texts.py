@@ -28,7 +28,7 @@ def test_every_operator_is_registered():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     rows, want = QUERIES[name](spark, DATA), db.sql(ORACLES[name])
     assert rows.columns == list(want.columns)
