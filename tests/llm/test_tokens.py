@@ -69,8 +69,8 @@ def test_other_tokenizers_get_whole_texts():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(ALPHABET, min_size=1, max_size=4))
 def test_merge_replay_equals_the_library(texts):
-    replay, encoder = bpe.merge_replay()
-    packed = encoder.encode(texts)
+    replay = bpe.merge_replay()
+    packed = [np.array(ids, "<u4").tobytes() for ids in replay.encode_many(texts)]
     assert [np.frombuffer(p, "<u4").tolist() for p in packed] == [byte_pair_cached().encode_ordinary(t) for t in texts]
     assert [replay.decode(p).decode() for p in packed] == texts
 
@@ -95,17 +95,36 @@ def test_replay_of_a_lower_rank_made_by_a_merge(tmp_path):
         assert replay.encode_many([text])[0] == library.encode_ordinary(text)
 
 
-def test_round_trip_digests(spark):
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_round_trip_digests(spark, buckets):
     library = byte_pair()
-    got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip_digests(docs(spark)).collect()}
-    want = set()
-    for r in docs(spark).collect():
+    rows = docs(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(None, "a\0b a\0b"), (7, None), (7, "x")], "doc_id long, text string"))
+    got = sorted(((r.doc_id or -1), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.corpus_ids(rows, digests=True, buckets=buckets).collect())
+    want = []
+    for r in rows.collect():
         ids = library.encode_ordinary(r.text or "")
-        want.add((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
-    assert got == want
-    encoded = bpe.encode_documents(docs(spark).select("doc_id", "text"))
+        want.append((r.doc_id or -1, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert got == sorted(want)
+    encoded = bpe.corpus_ids(rows.select(F.col("doc_id").cast("string"), "text"))
     decoded = bpe.decode_documents(encoded).collect()
-    assert all(bytes(r.decoded) == (r.text or "").encode() for r in decoded)
+    assert sorted(bytes(r.decoded) for r in decoded) == sorted((r.text or "").encode() for r in rows.collect())
+    encoded = bpe.encode_documents(docs(spark).select("doc_id", "text"))
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in bpe.decode_documents(encoded).collect())
+
+
+def test_chunks_and_blocks_are_bounded(spark):
+    """Bounds given as parameters: every chunk is numbered by itself, and the ids are those of one chunk."""
+    rows = docs(spark).select("doc_id", "text").coalesce(1)
+    whole = {(r.doc_id, bytes(r.token_ids)) for r in bpe.corpus_ids(rows).collect()}
+    cut = bpe.corpus_ids(rows, bounds=bpe.Bounds(matches=50, text=1000, block=20))
+    assert {(r.doc_id, bytes(r.token_ids)) for r in cut.collect()} == whole
+
+
+def test_corpus_ids_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, chunk int, block int")
+    assert bpe.corpus_ids(none).count() == 0
+    blank = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
+    assert [(r.n_tokens, r.decoded_sha256) for r in bpe.corpus_ids(blank, digests=True).collect()] == [(0, hashlib.sha256(b"").hexdigest())] * 2
 
 
 def test_counts_and_cache(spark):

@@ -1,24 +1,47 @@
 """Byte-level BPE by corpus-level merge replay.
 
-All distinct pattern matches of a batch are laid out in one flat array of bytes.  An inverted index maps each pair that
-the ranks know to the positions where it stands; pairs are taken in rank order off a heap, every merge touches only the
-two neighbouring pairs, and a merge that makes a pair of lower rank puts the rest of its own rank back.  That is the
-order in which the byte-pair library merges each match by itself.
+Three passes.  The first cuts every text into pattern matches and numbers the distinct ones of a chunk of texts; only
+numbers stay of the texts.  The second brings each distinct match of the corpus to one bucket and replays the merges
+there: all of a bucket's matches are laid out in one flat array of bytes, an inverted index maps each pair that the ranks
+know to the positions where it stands, pairs are taken in rank order off a heap, every merge touches only the two
+neighbouring pairs, and a merge that makes a pair of lower rank puts the rest of its own rank back.  That is the order in
+which the byte-pair library merges each match by itself.  The third meets a chunk's numbers with their ids again.
+
+What moves between passes are packed blocks, one for each chunk and bucket: distinct matches, their ids, and the numbers
+of a chunk's texts.  A chunk and a batch of blocks are bounded whatever the corpus holds.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
+from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import documents, field, id_and_text, map_rows
-from tidemark.llm.segments import SegmentEncoder, vocabulary_path
+from tidemark.llm.common import Scratch, documents, field, id_and_text, map_rows, tune
+from tidemark.llm.segments import WholeTexts, vocabulary_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Distinct matches and pairs that a worker remembers, in each of two generations.
+REMEMBERED, PAIRS = 250_000, 400_000
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """A chunk of texts ends with so many distinct matches or characters of text, a block with so many matches or texts."""
+
+    matches: int = 400_000
+    text: int = 48 << 20
+    block: int = 1_000_000
+    texts: int = 10_000
 
 
 class MergeReplay:
@@ -36,21 +59,24 @@ class MergeReplay:
         self.byte_array = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.byte_pairs = np.array([[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
         self.seen: dict[str, list[int]] = {}
+        self.seen_before: dict[str, list[int]] = {}
         self.matches = regex.compile(pattern or public_tokenizers.PATTERN).findall
         self.pair_rank: dict[int, int] = {}
+        self.table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _rank(self, left: int, right: int) -> int:
         """Rank of the pair's bytes, -1 without one."""
         key = left << 32 | right
         rank = self.pair_rank.get(key)
         if rank is None:
-            if len(self.pair_rank) > 400_000:
-                self.pair_rank.clear()
             rank = self.pair_rank[key] = self.ranks.get(self.token[left] + self.token[right], -1)
         return rank
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """ids of every word."""
+        if len(self.pair_rank) > PAIRS:  # the older half goes
+            for key in list(islice(self.pair_rank, len(self.pair_rank) // 2)):
+                del self.pair_rank[key]
         whole = self.ranks
         out: list[list[int] | None] = [None] * len(words)
         open_words = []
@@ -143,56 +169,266 @@ class MergeReplay:
             out[i] = got
         return out  # type: ignore[return-value]
 
-    def encode_many(self, segments: list[str]) -> list[list[int]]:
-        """ids of segments, their distinct matches replayed together."""
-        cut = [self.matches(s) for s in segments]
-        if len(self.seen) > 250_000:
-            self.seen.clear()
-        seen = self.seen
-        words = list({m for c in cut for m in c if m not in seen})
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            seen.update(zip(part, self.replay([w.encode() for w in part]), strict=True))
-        return [seen[c[0]] if len(c) == 1 else [x for m in c for x in seen[m]] for c in cut]
+    def ids_of(self, words: set[str]) -> dict[str, list[int]]:
+        """ids of distinct matches, those not remembered replayed together.  When the young generation is full it becomes
+        the old one, so matches that come again stay."""
+        found, missing = {}, []
+        for w in words:
+            got = self.seen.get(w) or self.seen_before.get(w)
+            if got is None:
+                missing.append(w)
+            else:
+                found[w] = self.seen[w] = got
+        for i in range(0, len(missing), 50_000):
+            part = missing[i : i + 50_000]
+            for w, ids in zip(part, self.replay([w.encode() for w in part]), strict=True):
+                found[w] = self.seen[w] = ids
+        if len(self.seen) > REMEMBERED:
+            self.seen_before, self.seen = self.seen, {}
+        return found
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        """ids of texts, their distinct matches replayed together."""
+        cut = [self.matches(t) for t in texts]
+        ids = self.ids_of({m for c in cut for m in c})
+        return [[x for m in c for x in ids[m]] for c in cut]
+
+    def byte_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of each token, first of them, all tokens' bytes in a row)."""
+        if self.table is None:
+            lengths = np.array([len(t) for t in self.token], np.int64)
+            self.table = lengths, np.cumsum(lengths) - lengths, np.frombuffer(b"".join(self.token), np.uint8)
+        return self.table
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-_LOADED: dict[str, tuple[MergeReplay, SegmentEncoder]] = {}
+_LOADED: dict[str, MergeReplay] = {}
 
 
-def merge_replay(vocabulary: str = VOCABULARY) -> tuple[MergeReplay, SegmentEncoder]:
+def merge_replay(vocabulary: str = VOCABULARY) -> MergeReplay:
+    """A worker's replay, kept for its next task."""
     if vocabulary not in _LOADED:
-        replay = MergeReplay(vocabulary_path(vocabulary))
-        _LOADED[vocabulary] = replay, SegmentEncoder(replay.encode_many, "<u4")
+        _LOADED[vocabulary] = MergeReplay(vocabulary_path(vocabulary))
     return _LOADED[vocabulary]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``token_ids`` (binary, little-endian unsigned 32-bit) to every row; no shuffle.
+    """Add ``token_ids`` (binary, little-endian unsigned 32-bit) to every row batch by batch, without a shuffle: for tables
+    too small to gain from the corpus-level passes of ``corpus_ids``.
 
     Null and empty texts give no ids.  Rows are independent: repeated rows repeat their result.
     """
 
     def make():
-        _, encoder = merge_replay(vocabulary)
+        encoder = WholeTexts(merge_replay(vocabulary).encode_many)
         return lambda texts: {"token_ids": encoder.encode(texts)}
 
     return map_rows(docs, make, [field("token_ids", "binary")], text_col, keep)
 
 
+# ---------------------------------------------------------------- blocks
+
+
+def _pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
+    """Arrays of equal length as 32-bit integers, and bytes behind them, compressed."""
+    import zstandard
+
+    body = b"".join(np.asarray(a, "<u4").tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=3).compress(len(arrays[0]).to_bytes(8, "little") + body + tail)
+
+
+def _unpack(block: bytes, arrays: int) -> tuple[list[np.ndarray], bytes]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    n = int.from_bytes(raw[:8], "little")
+    return [np.frombuffer(raw, "<u4", n, 8 + 4 * n * k) for k in range(arrays)], raw[8 + 4 * n * arrays :]
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """The pieces flat[starts[i] : starts[i] + lengths[i]] of every i in ``pick``, in a row."""
+    n = lengths[pick]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[pick] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Numbers(dict):
+    """Numbers distinct keys from 0 in the order they are asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _blocks_schema(id_field: T.StructField) -> T.StructType:
+    ids = T.ArrayType(id_field.dataType)
+    return T.StructType([T.StructField("chunk", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("block", T.BinaryType()), T.StructField("doc_ids", ids)])
+
+
+def _matches(rows: DataFrame, vocabulary: str, buckets: int, bounds: Bounds) -> DataFrame:
+    """Blocks of every chunk of texts: its distinct matches by bucket, and its texts as numbers of matches (bucket -1)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = _blocks_schema(rows.schema["doc_id"])
+    arrow = to_arrow_schema(schema)
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        matches = merge_replay(vocabulary).matches
+        chunk = TaskContext.get().partitionId() << 32
+        numbers, size, ids, texts, held = _Numbers(), 0, [], [], 0
+
+        def row(bucket, block, of=None):
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((chunk, bucket, block, of), arrow, strict=True)], schema=arrow)
+
+        def texts_block():
+            every = np.concatenate(texts) if texts else np.array([], np.uint32)
+            lengths = np.array([len(t) for t in texts], "<u4")
+            return row(-1, _pack(lengths, tail=every.astype("<u4").tobytes()), ids)
+
+        def words_blocks():
+            words = [w.encode() for w in numbers]
+            bucket = np.array([zlib.crc32(w) % buckets for w in words])
+            order = np.argsort(bucket, kind="stable")
+            firsts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            for part in np.split(order, firsts[1:]):
+                own = [words[i] for i in part]
+                yield row(int(bucket[part[0]]), _pack(part, np.array([len(w) for w in own]), tail=b"".join(own)))
+
+        for b in batches:
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                found = matches(text or "")
+                texts.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                ids.append(doc_id)
+                held += len(found)
+                size += len(text or "")
+                if held >= bounds.block or len(ids) >= bounds.texts:
+                    yield texts_block()
+                    ids, texts, held = [], [], 0
+                if len(numbers) >= bounds.matches or size >= bounds.text:
+                    if ids:
+                        yield texts_block()
+                    if numbers:
+                        yield from words_blocks()
+                    chunk, numbers, size, ids, texts, held = chunk + 1, _Numbers(), 0, [], [], 0
+        if ids:
+            yield texts_block()
+        if numbers:
+            yield from words_blocks()
+
+    return rows.mapInArrow(cut, schema)
+
+
+def _replayed(words: DataFrame, vocabulary: str, buckets: int) -> DataFrame:
+    """Blocks of ids for blocks of distinct matches; blocks of a bucket come one after the other."""
+
+    def work(batches):
+        replay = merge_replay(vocabulary)
+        for b in batches:
+            read, every = [], set()
+            for block in b.column("block").to_pylist():
+                (number, lengths), raw = _unpack(block, 2)
+                ends = np.cumsum(lengths)
+                own = [raw[e - n : e].decode() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                read.append((number, own))
+                every.update(own)
+            ids = replay.ids_of(every)
+            out = []
+            for number, own in read:
+                got = [ids[w] for w in own]
+                flat = np.array([x for g in got for x in g], "<u4")
+                out.append(_pack(number, np.array([len(g) for g in got]), tail=flat.tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(out, pa.binary())], names=["chunk", "block"])
+
+    placed = words.select("chunk", "bucket", "block").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return placed.mapInArrow(work, "chunk long, block binary")
+
+
+def corpus_ids(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, buckets: int | None = None, bounds: Bounds = Bounds()) -> DataFrame:
+    """(doc_id, token_ids) of every row by the corpus-level replay; with ``digests`` instead of the ids their number, their
+    SHA-256 and that of the decoded bytes (n_tokens, ids_sha256, decoded_sha256).
+
+    Null and empty texts have no ids.  Rows are independent: repeated rows and null ids stay rows of their own.  No special
+    token is ever made.  ``buckets`` and ``bounds`` change no result.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "replay")
+    tune(spark)
+    rows = id_and_text(docs, id_col, text_col)
+    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = scratch.write(_matches(rows, vocabulary, buckets, bounds), "blocks")
+    ids = _replayed(blocks.where("bucket >= 0"), vocabulary, buckets).select("chunk", F.lit(0).alias("kind"), "block")
+    texts = blocks.where("bucket < 0").select("chunk", F.lit(1).alias("kind"), "block", "doc_ids")
+    both = ids.unionByName(texts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    id_field = rows.schema["doc_id"]
+    new = [field("n_tokens", "long"), field("ids_sha256", "string"), field("decoded_sha256", "string")] if digests else [field("token_ids", "binary")]
+    schema = T.StructType([id_field, *new])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def work(batches):
+        chunk, known, table = None, [], None
+        for b in batches:
+            for of, kind, block, doc_ids in zip(*[b.column(c).to_pylist() for c in ("chunk", "kind", "block", "doc_ids")], strict=True):
+                if of != chunk:
+                    chunk, known, table = of, [], None
+                if kind == 0:
+                    known.append(block)
+                    continue
+                if table is None:
+                    table, known = _table(known), []
+                (lengths,), raw = _unpack(block, 1)
+                flat, starts, counts = table
+                numbers = np.frombuffer(raw, "<u4")
+                yield from texts_of(doc_ids, lengths.astype(np.int64), numbers, flat, starts, counts)
+
+    def texts_of(doc_ids, lengths, numbers, flat, starts, counts):
+        token_bytes, token_starts, all_bytes = merge_replay(vocabulary).byte_table()
+        ends = np.cumsum(lengths)
+        out = []
+        held = 0
+        for k, (doc_id, e, n) in enumerate(zip(doc_ids, ends.tolist(), lengths.tolist(), strict=True)):
+            ids = _gather(flat, starts, counts, numbers[e - n : e])
+            packed = ids.astype("<u4").tobytes()
+            if digests:
+                decoded = _gather(all_bytes, token_starts, token_bytes, ids)
+                out.append((doc_id, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            else:
+                out.append((doc_id, packed))
+                held += len(packed)
+            if held > 4 << 20 or len(out) >= 1000 or k + 1 == len(doc_ids):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                out, held = [], 0
+
+    return both.mapInArrow(work, schema)
+
+
+def _table(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all ids, first of each number, how many) of a chunk's matches."""
+    if not blocks:
+        return np.array([], np.int64), np.array([], np.int64), np.array([], np.int64)
+    read = [_unpack(b, 2) for b in blocks]
+    number = np.concatenate([a[0] for a, _ in read]).astype(np.int64)
+    length = np.concatenate([a[1] for a, _ in read]).astype(np.int64)
+    flat = np.frombuffer(b"".join(tail for _, tail in read), "<u4").astype(np.int64)
+    starts, counts = np.empty_like(number), np.empty_like(number)
+    starts[number], counts[number] = np.cumsum(length) - length, length
+    return flat, starts, counts
+
+
 def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
     """Add ``decoded`` (binary: the tokens' bytes); null ids decode to nothing."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
     kept = [c for c in (encoded.columns if keep is None else keep) if c != "decoded"]
     source = encoded.select(*[encoded[f"`{c}`"] for c in dict.fromkeys([*kept, ids_col])])
     schema = T.StructType([*[source.schema[c] for c in kept], field("decoded", "binary")])
 
     def run(batches):
-        replay, _ = merge_replay(vocabulary)
+        replay = merge_replay(vocabulary)
         for b in batches:
             decoded = [replay.decode(x or b"") for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(decoded, pa.binary())], names=[*kept, "decoded"])
@@ -200,25 +436,5 @@ def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY, ids_col:
     return source.mapInArrow(run, schema)
 
 
-def round_trip_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Encode and decode in one pass over the texts; only digests leave the worker."""
-
-    def make():
-        replay, encoder = merge_replay(vocabulary)
-
-        def work(texts: list[str]) -> dict[str, list]:
-            packed = encoder.encode(texts)
-            return {
-                "n_tokens": [len(p) // 4 for p in packed],
-                "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed],
-                "decoded_sha256": [hashlib.sha256(replay.decode(p)).hexdigest() for p in packed],
-            }
-
-        return work
-
-    fields = [field("n_tokens", "long"), field("ids_sha256", "string"), field("decoded_sha256", "string")]
-    return map_rows(id_and_text(docs), make, fields, keep=["doc_id"])
-
-
 def op6_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip_digests(documents(spark, sf_dir))
+    return corpus_ids(documents(spark, sf_dir), digests=True)
