@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -237,12 +238,16 @@ def test_suffix_array(text):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 2), min_size=4, max_size=60), st.integers(1, 12))
-def test_repeated_starts(text, length):
-    starts = np.arange(max(0, len(text) - length + 1))
-    count = Counter(tuple(text[i : i + length]) for i in starts)
-    got = repeated_starts(np.array(text, np.int64), starts, length) if len(starts) else np.array([])
-    assert got.tolist() == [count[tuple(text[i : i + length])] > 1 for i in starts]
+@given(st.lists(st.integers(1, 2), min_size=4, max_size=60), st.lists(st.integers(1, 12), min_size=1, max_size=3))
+def test_repeated_starts(text, lengths):
+    lengths = tuple(sorted(lengths))
+    starts = np.arange(max(0, len(text) - lengths[0] + 1))
+    if not len(starts):
+        return
+    found = repeated_starts(np.array(text, np.int64), starts, len(text) - starts, lengths)
+    for length, got in zip(lengths, found, strict=True):
+        count = Counter(tuple(text[i : i + length]) for i in range(len(text) - length + 1))
+        assert got.tolist() == [i + length <= len(text) and count[tuple(text[i : i + length])] > 1 for i in starts]
 
 
 def brute_repeats(rows, length):
@@ -271,15 +276,56 @@ def texts_with_repeats(seed=6):
 
 
 @pytest.mark.parametrize("length", [40, 64, 400])
-@pytest.mark.parametrize("array_bytes, broadcast_bytes", [(repeats.ARRAY_BYTES, repeats.BROADCAST_BYTES), (150, 0)])
-def test_repeats(spark, length, array_bytes, broadcast_bytes):
+@pytest.mark.parametrize("array_bytes", [repeats.ARRAY_BYTES, 150])
+def test_repeats(spark, length, array_bytes):
+    """One length or two in one pass give the same: 400 is judged beside the shorter length of passages."""
     rows = texts_with_repeats()
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("digest", "spans", "whole", "key")})
-    got = repeats.repeat_digests(df, length, array_bytes=array_bytes, broadcast_bytes=broadcast_bytes)
-    assert Counter(map(tuple, got.collect())) == brute_repeats(rows, length)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("digest", "spans", "copied", "key")})
+    got = repeats.repeat_digests(df, length, array_bytes=array_bytes)
+    assert Counter(tuple(r)[:5] for r in got.collect()) == brute_repeats(rows, length)
     assert repeats.repeat_digests(df.limit(0), length).count() == 0
 
 
+def brute_passages(rows, length, words):
+    """Bytes of whole words in ranges that repeated strings cover, of ranges with more words than ``words``."""
+    data = [(t or "").encode() for _, t in rows]
+    count = Counter(b[k : k + length] for b in data for k in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        gone = bytearray(len(b) + 1)
+        for k in range(len(b) - length + 1):
+            if count[b[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        total, at = 0, 0
+        for k, g in enumerate(gone):
+            if g and not (k and gone[k - 1]):
+                at = k
+            if not g and k and gone[k - 1]:
+                inside = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b) if at <= m.start() and m.end() <= k]
+                if len(inside) > words:
+                    total += inside[-1][1] - inside[0][0]
+        out.append(total)
+    return out
+
+
+def test_passages_between_the_lengths(spark):
+    """A passage of 51 words under 400 bytes is told, removes nothing from op10, and goes from the pipeline's texts."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    shared, short = prose(52), prose(45)
+    rows = [(i, f"{prose(40)} {shared} {prose(40)}") for i in range(3)] + [(10 + i, f"{prose(40)} {short} {prose(30)}") for i in range(2)] + [(20, prose(90)), (21, None)]
+    assert 200 < len(short) and len(shared) < 398
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.repeat_digests(df).collect()}
+    assert all(r.n_removed == 0 for r in got.values())
+    for (i, _), want in zip(rows, brute_passages(rows, 200, 50), strict=True):
+        assert abs(got[i].n_passage_bytes - want) <= 2, i  # blanks at the ends
+    assert all(got[i].n_passage_bytes >= len(shared) for i in range(3)) and not any(got[i].n_passage_bytes for i in (10, 11, 20, 21))
+    cut = {r.doc_id: r.text for r in repeats.without_repeats(df, 200, over_words=50).collect()}
+    assert all(shared not in cut[i] and len(cut[i].split()) <= 82 for i in range(3))
+    assert all(cut[i] == t for i, t in rows if i >= 10)
+
+
 def test_long_windows_cross_slices(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SLICE", 100)
     data = bytes(random.Random(1).randrange(97, 123) for _ in range(1500)) * 2

@@ -68,28 +68,34 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return result
 
 
-def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of ``starts`` (ascending) begin a string of ``length`` symbols that begins at another of them as well.
+def repeated_starts(text: np.ndarray, starts: np.ndarray, room: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each length, which of ``starts`` (ascending) begin a string of so many symbols that begins at another of them as
+    well; a start counts only for lengths within its ``room``.
 
     Neighbours in suffix order are compared: all suffixes of one prefix stand together.
     """
-    wanted = np.zeros(len(text), bool)
-    wanted[starts] = True
-    order = suffix_array(text)
-    order = order[wanted[order]]
-    a, b = order[:-1], order[1:]
+    place = np.full(len(text), -1)
+    place[starts] = np.arange(len(starts))
+    order = place[suffix_array(text)]
+    order = order[order >= 0]
     # Symbols are compared by words of as many as fit 63 bits.
     bits = int(text.max()).bit_length() if len(text) else 1
-    per_word = min(length, 63 // bits)
+    per_word = min(min(lengths), 63 // bits)
     word = text
     for k in range(1, per_word):
         word = (word[:-1] << bits) | text[k:]
-    same = np.arange(len(a))
-    for at in (length - per_word, (length - per_word) // 2, *range(0, length - per_word, per_word)):  # nearly all pairs part at the first
-        if not len(same):
-            break
-        same = same[word[a[same] + at] == word[b[same] + at]]
-    repeated = np.zeros(len(text), bool)
-    repeated[a[same]] = True
-    repeated[b[same]] = True
-    return repeated[starts]
+    found = []
+    for length in lengths:
+        fit = order[room[order] >= length]
+        a, b = fit[:-1], fit[1:]
+        at_a, at_b = starts[a], starts[b]
+        same = np.arange(len(a))
+        for at in (length - per_word, (length - per_word) // 2, *range(0, length - per_word, per_word)):  # nearly all pairs part at the first
+            if not len(same):
+                break
+            same = same[word[at_a[same] + at] == word[at_b[same] + at]]
+        repeated = np.zeros(len(starts), bool)
+        repeated[a[same]] = True
+        repeated[b[same]] = True
+        found.append(repeated)
+    return found
