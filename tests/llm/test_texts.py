@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import chat, quality, toxicity
+from tidemark.llm.common import Scratch
 from tidemark.llm.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -252,6 +253,63 @@ def test_pipeline(spark):
     assert max(by_sequence.values()) <= 1024
 
 
+def test_pipeline_catches_what_is_planted(spark):
+    """Toxic texts, junk, copies, near copies and repeated passages go; clean documents come out as they were."""
+    rng = np.random.default_rng(9)
+    common = "the of and to in it is on that for".split()
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+    prose = lambda n: " ".join(f"{rng.choice(common)} {rng.choice(words)}" for _ in range(n // 2))
+    shared = prose(56)
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 3 == 0
+        text = prose(80).split(" ")
+        for at in rng.integers(0, 80, 6):
+            if toxic:
+                text[at] = rng.choice(["idiot", "worthless", "disgusting"])
+        rows.append((i, " ".join(text) + ".", "en"))
+        labels.append((i, 1, int(toxic)))
+    clean = {500 + i: prose(90) + "." for i in range(20)}
+    copy = prose(120) + "."
+    rows += [(i, t, "en") for i, t in clean.items()] + [(600, copy, "en"), (601, copy, "en"), (602, copy.replace("the", "a", 1), "en")]
+    rows += [(700 + i, f"{prose(60)} {shared} {prose(60)}.", "en") for i in range(3)] + [(800, prose(80).replace(" ", "|#$ "), "en")]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t)) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    folder = f"{Scratch(spark, 'planted').root}"
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{folder}/labels.parquet")
+    at, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, at, folder).collect()
+        seen[name], at = {r.doc_id: r.text for r in kept}, spark.createDataFrame(kept, docs.schema)
+    toxic, rules, near, suffix = (seen[n] for n, _ in corpus_pipeline.STAGES[:-1])
+    assert sum(i in toxic for i in range(0, 300, 3)) <= 5 and sum(i in toxic for i in range(300) if i % 3) >= 195
+    assert 800 not in rules and set(clean) <= set(rules)
+    assert {600, 601, 602} & set(near) == {600}
+    assert all(suffix[i] == t for i, t in clean.items())
+    assert not any(shared in suffix[700 + i] for i in range(3)) and all(shared in near[700 + i] for i in range(3))
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in packed} == set(suffix)
+
+
+def test_no_long_passage_is_left(spark):
+    """After the stage no 51 words in a row stand in two documents, on a fixture where many did before."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    near = spark.createDataFrame(corpus_pipeline.one_of_each_group(spark, docs, "").collect(), docs.schema)
+
+    def shared(rows):
+        found: dict[int, set[int]] = {}
+        for k, r in enumerate(rows):
+            words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+            for i in range(len(words) - 50):
+                part = words[i : i + 51]
+                if len(" ".join(part).encode()) >= 200:
+                    found.setdefault(hash(" ".join(part)), set()).add(k)
+        return sum(len(d) > 1 for d in found.values())
+
+    assert shared(near.collect()) > 500
+    assert shared(corpus_pipeline.cut_repeats(spark, near, "").collect()) == 0
+
+
 def test_pipeline_takes_nulls_and_copies(spark):
     text = "the quick brown fox of the old town and a dog that is lazy " * 1
     long = " ".join(f"{w}{i}" for i in range(30) for w in ("the", "of", "and", "to")) + "."
