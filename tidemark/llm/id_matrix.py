@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import documents, id_and_text, texts_of, tune
 from tidemark.llm.packing import cut
@@ -98,10 +99,13 @@ def pack_matrices(
     and repeated rows are documents of their own.
     """
     rows = id_and_text(docs)
-    rows = rows.withColumn("doc_id", rows["doc_id"].cast("long"))
+    id_type = rows.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(id_type)) if f.name == "doc_ids" else f for f in SCHEMA.fields])
     by_ranks = ranks_are_equivalent(vocabulary_path(vocabulary))
     tune(docs.sparkSession)
     kind = np.dtype(dtype)
+    if max(pad_id, end_id or 0) > np.iinfo(kind).max:
+        raise ValueError(f"ids don't fit {dtype}")
     tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
 
     def run(batches):
@@ -128,7 +132,7 @@ def pack_matrices(
             held = 0
 
         def batch_of(out):
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(to_arrow_type(id_type)), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=SCHEMA.names)
 
         for batch in batches:
@@ -143,7 +147,7 @@ def pack_matrices(
         if pieces:
             yield from packed()
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, schema)
 
 
 def position_ids(position_resets: list[int], n_tokens: int) -> np.ndarray:

@@ -83,6 +83,8 @@ class RankEncoder:
         ranks, _, special = read_ranks(path)
         self.library = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.special, self.dtype = tuple(special), np.dtype(dtype)
+        if max([*ranks.values(), *special.values()]) > np.iinfo(self.dtype).max:
+            raise ValueError(f"ids of {path} don't fit {dtype}")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self.library.encode_to_numpy(t, allowed_special="all").astype(self.dtype).tobytes() if any(s in t for s in self.special) else self.library.encode_to_numpy(t, disallowed_special=()).astype(self.dtype).tobytes() for t in texts]
