@@ -10,6 +10,8 @@ from tidemark.llm.ranks import encoder_for, ranks_are_equivalent
 from tidemark.llm.segments import vocabulary_digest, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Misses up to this size in memory are broadcast; a miss is a digest and an id.
+FEW_BYTES, MISS_BYTES = 8 << 20, 100
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
 
@@ -28,7 +30,10 @@ def count_tokens(docs: DataFrame, cache_path: str, vocabulary: str = VOCABULARY,
 
     Content is normalised by taking null as empty text; anything further would change counts.  Null and repeated ids
     and repeated rows keep a row each.  Each distinct content is encoded once however many rows hold it: one row by
-    (content, least id) carries its text to the encoder, and copies move as digests only.
+    (content, least id) carries its text to the encoder.
+
+    The cache is asked with digests alone.  If it knows all contents, no text is read again; a few misses (``FEW_BYTES``)
+    are broadcast, so that only their texts leave the scan; beyond that texts are shuffled to their digests.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-cache")
@@ -38,8 +43,12 @@ def count_tokens(docs: DataFrame, cache_path: str, vocabulary: str = VOCABULARY,
     keyed = scratch.write(rows.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")), "keyed")
     stored = read_cache(spark, cache_path, tokenizer)
     misses = keyed.groupBy("content_digest").agg(F.min("doc_id").alias("least_id")).join(stored, "content_digest", "left_anti")
-    misses = misses.withColumnRenamed("content_digest", "miss_digest")
-    carriers = rows.join(misses.hint("shuffle_hash"), (F.col("content_digest") == F.col("miss_digest")) & F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
+    misses = scratch.write(misses.withColumnRenamed("content_digest", "miss_digest"), "misses")
+    n_misses = misses.count()
+    if not n_misses:
+        return _counts(keyed, stored)
+    how = "broadcast" if n_misses * MISS_BYTES <= FEW_BYTES else "shuffle_hash"
+    carriers = rows.join(misses.hint(how), (F.col("content_digest") == F.col("miss_digest")) & F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
 
     def make():
         encoder = encoder_for(vocabulary, by_ranks)
@@ -52,7 +61,11 @@ def count_tokens(docs: DataFrame, cache_path: str, vocabulary: str = VOCABULARY,
 
     counted = map_rows(carriers, make, [field("n_tokens", "long")], keep=["content_digest"]).dropDuplicates(["content_digest"])
     counted.select("content_digest", F.lit(tokenizer).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
-    return keyed.join(read_cache(spark, cache_path, tokenizer), "content_digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    return _counts(keyed, read_cache(spark, cache_path, tokenizer))
+
+
+def _counts(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    return keyed.join(known, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, limit: int = 512) -> DataFrame:
