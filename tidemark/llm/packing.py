@@ -298,7 +298,8 @@ def pack_documents(
     places = Places(plan_bins(counts, capacity))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = by_task.select("task", "length", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
-    ranked = pieces.join(first, ["task", "length"], "left").withColumn("rank", F.coalesce(F.col("before") + F.col("number"), F.lit(0)))
+    # By shuffle: the counts grow with the number of tasks.  A key is one task's pieces of one length.
+    ranked = pieces.join(first.hint("shuffle_hash"), ["task", "length"], "left").withColumn("rank", F.coalesce(F.col("before") + F.col("number"), F.lit(0)))
     kept = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     schema = T.StructType([*[ranked.schema[c] for c in kept], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
