@@ -127,6 +127,20 @@ def test_corpus_ids_of_nothing(spark):
     assert [(r.n_tokens, r.decoded_sha256) for r in bpe.corpus_ids(blank, digests=True).collect()] == [(0, hashlib.sha256(b"").hexdigest())] * 2
 
 
+def test_a_warm_cache_moves_no_text(spark):
+    """Known contents are told by digests; with few misses only their texts leave the scan, and beyond that all do."""
+    path = Scratch(spark, "t").path("cache")
+    rows = docs(spark).select("doc_id", "text")
+    first = {tuple(r) for r in token_cache.count_tokens(rows, path).collect()}
+    before = spark.read.parquet(path).count()
+    warm = token_cache.count_tokens(rows, path)
+    assert "MapInArrow" not in warm._jdf.queryExecution().toString()
+    assert {tuple(r) for r in warm.collect()} == first and spark.read.parquet(path).count() == before
+    more = rows.unionByName(spark.createDataFrame([(10**6, "a new text")], "doc_id long, text string"))
+    assert token_cache.count_tokens(more, path).where("doc_id = 1000000").first().n_tokens > 0
+    assert spark.read.parquet(path).count() == before + 1
+
+
 def test_counts_and_cache(spark):
     cache = Scratch(spark, "t").path("cache")
     rows = docs(spark)
@@ -250,6 +264,10 @@ def test_id_matrices(spark):
                 assert [x for _, p in sorted(pieces[doc]) for x in p] == whole[0]
         assert sum(len(p) for v in pieces.values() for _, p in v) == sum(len(w) for v in want.values() for w in v)
     assert id_matrix.pack_matrices(rows.limit(0)).count() == 0
+    named = rows.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    assert {x for r in id_matrix.pack_matrices(named).collect() for x in r.doc_ids if x} == {f"d{i}" for i in want if i is not None}
+    with pytest.raises(ValueError):
+        id_matrix.pack_matrices(rows, pad_id=70_000)
 
 
 @settings(max_examples=60, deadline=None)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,22 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.paths import shared_folder
+
 #: Rows and bytes of an Arrow batch handed to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"file://{tempfile.gettempdir()}/checkpoints"
-
-
 class Scratch:
     """Written tables that cut lineage: a lost executor costs a reread, not a recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
         tune(spark)
 
     def path(self, name: str) -> str:

@@ -151,8 +151,8 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """A model of two lists of texts.  Without toxic or without ordinary texts every score is the share of the former;
-    without any it is 0."""
+    """A model of two lists of texts.  Without toxic or without ordinary texts every score is the share of the former,
+    within 0.001 and 0.999; without any text it is 0.001."""
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if not toxic or not ordinary:
         share = min(0.999, max(0.001, len(toxic) / max(1, len(toxic) + len(ordinary))))
