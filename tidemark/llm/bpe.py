@@ -231,20 +231,52 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: st
 # ---------------------------------------------------------------- blocks
 
 
-def _pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
-    """Arrays of equal length as 32-bit integers, and bytes behind them, compressed."""
+def _coded(values: np.ndarray) -> bytes:
+    """Numbers from 0 as a count, the bits that each needs (one byte, which packs well), and what stands below each one's
+    leading bit, bit by bit: numbers by frequency take little more than their entropy."""
+    v = np.asarray(values, np.int64) + 1
+    size = np.frexp(v.astype(np.float64))[1].astype(np.uint8)
+    out = [len(v).to_bytes(8, "little"), size.tobytes()]
+    for k in range(2, int(size.max(initial=0)) + 1):
+        below = v[size == k] - (1 << (k - 1))
+        out.append(np.packbits((below[:, None] >> np.arange(k - 1) & 1).astype(np.uint8)).tobytes())
+    return b"".join(out)
+
+
+def _decoded(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """The numbers at a place, and the place behind them."""
+    n = int.from_bytes(raw[at : at + 8], "little")
+    size = np.frombuffer(raw, np.uint8, n, at + 8)
+    at += 8 + n
+    v = np.zeros(n, np.int64)
+    for k in range(2, int(size.max(initial=0)) + 1):
+        own = np.flatnonzero(size == k)
+        length = (len(own) * (k - 1) + 7) // 8
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8, length, at), count=len(own) * (k - 1)).reshape(-1, k - 1)
+        v[own] = (1 << (k - 1)) - 1 + bits @ (1 << np.arange(k - 1))
+        at += length
+    return v, at
+
+
+def _pack(*arrays: np.ndarray, tail: bytes = b"", level: int = 6) -> bytes:
+    """Arrays of numbers, and bytes behind them, compressed."""
     import zstandard
 
-    body = b"".join(np.asarray(a, "<u4").tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=3).compress(len(arrays[0]).to_bytes(8, "little") + body + tail)
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(map(_coded, arrays)) + tail)
 
 
 def _unpack(block: bytes, arrays: int) -> tuple[list[np.ndarray], bytes]:
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    n = int.from_bytes(raw[:8], "little")
-    return [np.frombuffer(raw, "<u4", n, 8 + 4 * n * k) for k in range(arrays)], raw[8 + 4 * n * arrays :]
+    raw, at, found = zstandard.ZstdDecompressor().decompress(block), 0, []
+    for _ in range(arrays):
+        values, at = _decoded(raw, at)
+        found.append(values)
+    return found, raw[at:]
+
+
+def _gaps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=0)
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -279,45 +311,43 @@ def _matches(rows: DataFrame, vocabulary: str, buckets: int, bounds: Bounds) ->
 
         matches = merge_replay(vocabulary).matches
         chunk = TaskContext.get().partitionId() << 32
-        numbers, size, ids, texts, held = _Numbers(), 0, [], [], 0
+        numbers, size, ids, texts = _Numbers(), 0, [], []
 
         def row(bucket, block, of=None):
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((chunk, bucket, block, of), arrow, strict=True)], schema=arrow)
 
-        def texts_block():
-            every = np.concatenate(texts) if texts else np.array([], np.uint32)
-            lengths = np.array([len(t) for t in texts], "<u4")
-            return row(-1, _pack(lengths, tail=every.astype("<u4").tobytes()), ids)
-
-        def words_blocks():
+        def blocks():
+            """All of the chunk, its matches numbered anew from the most frequent down."""
+            every = np.concatenate([*texts, np.array([], np.uint32)])
+            order = np.argsort(-np.bincount(every, minlength=len(numbers)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            lengths = np.array([len(t) for t in texts])
+            ends = np.cumsum(lengths)
+            part = np.maximum(ends // bounds.block, np.arange(len(ends)) // bounds.texts) if len(ends) else ends
+            part = np.maximum.accumulate(part)
+            for own in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(part)) + 1):
+                first, last = own[0], own[-1]
+                yield row(-1, _pack(lengths[own], rank[every[ends[first] - lengths[first] : ends[last]]]), ids[first : last + 1])
             words = [w.encode() for w in numbers]
-            bucket = np.array([zlib.crc32(w) % buckets for w in words])
-            order = np.argsort(bucket, kind="stable")
-            firsts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            for part in np.split(order, firsts[1:]):
-                own = [words[i] for i in part]
-                yield row(int(bucket[part[0]]), _pack(part, np.array([len(w) for w in own]), tail=b"".join(own)))
+            words = [words[i] for i in order.tolist()]
+            bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
+            by_bucket = np.argsort(bucket, kind="stable")
+            for own in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1) if len(words) else ():
+                parts = [words[i] for i in own.tolist()]
+                yield row(int(bucket[own[0]]), _pack(_gaps(own), np.array([len(w) for w in parts]), tail=b"".join(parts), level=12))
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 found = matches(text or "")
                 texts.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
                 ids.append(doc_id)
-                held += len(found)
                 size += len(text or "")
-                if held >= bounds.block or len(ids) >= bounds.texts:
-                    yield texts_block()
-                    ids, texts, held = [], [], 0
                 if len(numbers) >= bounds.matches or size >= bounds.text:
-                    if ids:
-                        yield texts_block()
-                    if numbers:
-                        yield from words_blocks()
-                    chunk, numbers, size, ids, texts, held = chunk + 1, _Numbers(), 0, [], [], 0
+                    yield from blocks()
+                    chunk, numbers, size, ids, texts = chunk + 1, _Numbers(), 0, [], []
         if ids:
-            yield texts_block()
-        if numbers:
-            yield from words_blocks()
+            yield from blocks()
 
     return rows.mapInArrow(cut, schema)
 
@@ -330,17 +360,16 @@ def _replayed(words: DataFrame, vocabulary: str, buckets: int) -> DataFrame:
         for b in batches:
             read, every = [], set()
             for block in b.column("block").to_pylist():
-                (number, lengths), raw = _unpack(block, 2)
+                (gaps, lengths), raw = _unpack(block, 2)
                 ends = np.cumsum(lengths)
                 own = [raw[e - n : e].decode() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                read.append((number, own))
+                read.append((gaps, own))
                 every.update(own)
             ids = replay.ids_of(every)
             out = []
-            for number, own in read:
+            for gaps, own in read:
                 got = [ids[w] for w in own]
-                flat = np.array([x for g in got for x in g], "<u4")
-                out.append(_pack(number, np.array([len(g) for g in got]), tail=flat.tobytes()))
+                out.append(_pack(gaps, np.array([len(g) for g in got]), np.array([x for g in got for x in g], np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(out, pa.binary())], names=["chunk", "block"])
 
     placed = words.select("chunk", "bucket", "block").repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -382,10 +411,9 @@ def corpus_ids(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc
                     continue
                 if table is None:
                     table, known = _table(known), []
-                (lengths,), raw = _unpack(block, 1)
+                (lengths, numbers), _ = _unpack(block, 2)
                 flat, starts, counts = table
-                numbers = np.frombuffer(raw, "<u4")
-                yield from texts_of(doc_ids, lengths.astype(np.int64), numbers, flat, starts, counts)
+                yield from texts_of(doc_ids, lengths, numbers, flat, starts, counts)
 
     def texts_of(doc_ids, lengths, numbers, flat, starts, counts):
         token_bytes, token_starts, all_bytes = merge_replay(vocabulary).byte_table()
@@ -412,10 +440,10 @@ def _table(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(all ids, first of each number, how many) of a chunk's matches."""
     if not blocks:
         return np.array([], np.int64), np.array([], np.int64), np.array([], np.int64)
-    read = [_unpack(b, 2) for b in blocks]
-    number = np.concatenate([a[0] for a, _ in read]).astype(np.int64)
-    length = np.concatenate([a[1] for a, _ in read]).astype(np.int64)
-    flat = np.frombuffer(b"".join(tail for _, tail in read), "<u4").astype(np.int64)
+    read = [_unpack(b, 3)[0] for b in blocks]
+    number = np.concatenate([np.cumsum(gaps) for gaps, _, _ in read])
+    length = np.concatenate([lengths for _, lengths, _ in read])
+    flat = np.concatenate([ids for _, _, ids in read])
     starts, counts = np.empty_like(number), np.empty_like(number)
     starts[number], counts[number] = np.cumsum(length) - length, length
     return flat, starts, counts
