@@ -11,7 +11,7 @@ from tidemark.llm.segments import vocabulary_digest, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Misses up to this size in memory are broadcast; a miss is a digest and an id.
-FEW_BYTES, MISS_BYTES = 8 << 20, 100
+FEW_BYTES, MISS_BYTES = 1 << 20, 100
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
 
