@@ -387,7 +387,8 @@ def corpus_ids(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc
     scratch = Scratch(spark, "replay")
     tune(spark)
     rows = id_and_text(docs, id_col, text_col)
-    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A third of the session's partitions: blocks hold the more matches, and pack the better, the fewer buckets there are.
+    buckets = buckets or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
     blocks = scratch.write(_matches(rows, vocabulary, buckets, bounds), "blocks")
     ids = _replayed(blocks.where("bucket >= 0"), vocabulary, buckets).select("chunk", F.lit(0).alias("kind"), "block")
     texts = blocks.where("bucket < 0").select("chunk", F.lit(1).alias("kind"), "block", "doc_ids")
