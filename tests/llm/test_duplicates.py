@@ -48,6 +48,23 @@ def test_random_components(spark):
     assert got == {n: want[n] for a, b in pairs if a != b for n in (a, b)}
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_dealt_and_lose_no_row(spark, how):
+    # One key of a third of all rows, a null key, keys that only one side has; a table key may have two rows.
+    left = [("hot" if i % 3 == 0 else None if i % 50 == 1 else f"k{i}", i) for i in range(6000)]
+    right = [("hot", 1), ("hot", 2), ("absent", 3), *[(f"k{i}", i) for i in range(0, 6000, 2)]]
+    rows, table = spark.createDataFrame(left, "key string, member long"), spark.createDataFrame(right, "key string, value long")
+    scratch = Scratch(spark, "t")
+    hot = buckets.hot_keys(rows.groupBy("key").agg(F.count("*").alias("n")).where("key is not null"), "key", "n", scratch, "hot")
+    assert [(r._hot, r._parts) for r in hot.collect()] == [("hot", 334)]
+    got = buckets.join_hot(rows, table, "key", hot, "member", how)
+    want = rows.join(table, "key", how)
+    assert got.columns == want.columns
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(got) == order(want)
+    assert not buckets.hot_keys(rows.limit(0).groupBy("key").agg(F.count("*").alias("n")), "key", "n", scratch, "none").count()
+
+
 def bitwise_fingerprint(text):
     words = text.encode().lower().split()
     if not words:

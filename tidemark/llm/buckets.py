@@ -25,6 +25,28 @@ def tiled(rows: DataFrame, key: list[str], member: str, limit: int, scratch: Scr
     return dealt.select(*rows.columns, F.least("_c", "_j").alias("tile_a"), F.greatest("_c", "_j").alias("tile_b"), F.col("_c").alias("chunk"))
 
 
+#: A key is hot from one part in so many of all rows on: fewer keys than that can be.
+HOT_SHARE = 1000
+
+
+def hot_keys(sizes: DataFrame, key: str, n: str, scratch: Scratch, name: str) -> DataFrame:
+    """(_hot, _parts) of the keys that hold over a ``HOT_SHARE``-th of all rows: fewer than ``HOT_SHARE`` rows, whatever the
+    input.  ``sizes`` has a row a key, with its rows in ``n``; no part of a key is larger than that share."""
+    total = sizes.agg(F.sum(n).alias("n")).first()["n"] or 0
+    least = -(-total // HOT_SHARE) or 1
+    return scratch.write(sizes.where(F.col(n) > least).select(F.col(key).alias("_hot"), F.ceil(F.col(n) / least).cast("long").alias("_parts")), name)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, member: str, how: str = "inner") -> DataFrame:
+    """The join on ``key``, a hot key's rows dealt by ``member`` over its parts, for each of which ``table`` (few rows a key)
+    gets a copy of the key's row.  Only the bounded list of hot keys is broadcast."""
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(member), parts)).drop("_hot", "_parts")
+    copies = table.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    copies = copies.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_hot", "_parts")
+    return dealt.join(copies, [key, "_part"], how).drop("_part")
+
+
 def by_group(df: DataFrame, key: list[str]) -> DataFrame:
     """Rows of a group next to each other in one partition."""
     return df.repartition(*key).sortWithinPartitions(*key)

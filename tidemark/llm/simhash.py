@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.buckets import by_group, forest, tiled, whole_groups
+from tidemark.llm.buckets import by_group, forest, hot_keys, join_hot, tiled, whole_groups
 from tidemark.llm.common import Scratch, documents, field, id_and_text, map_rows
 from tidemark.llm.graph import components
 
@@ -159,13 +159,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radiu
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.write(fingerprints(id_and_text(docs, id_col, text_col), words, seed, keep=["doc_id"]), "marked")
-    distinct = scratch.write(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "distinct")
+    distinct = scratch.write(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")), "distinct")
     edges = scratch.write(links(distinct.select("fingerprint"), scratch, radius), "links")
-    joined = components(edges, scratch).withColumnRenamed("node", "fingerprint")
-    named = distinct.join(joined, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_print = scratch.write(named.join(names, "component").select("fingerprint", "component_id"), "named")
-    return marked.join(of_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return _of_rows(marked, distinct, "fingerprint", components(edges, scratch), scratch).select("doc_id", "fingerprint", "component_id")
+
+
+def _of_rows(marked: DataFrame, distinct: DataFrame, node: str, joined: DataFrame, scratch: Scratch) -> DataFrame:
+    """``marked`` with component_id, the least id of its node's component.  ``distinct`` has a row a node, with its least_id
+    and its rows; neither a component of most nodes nor a node of most rows is gathered in one task."""
+    nodes = distinct.select(node, "least_id").join(joined.withColumnRenamed("node", node), node, "left")
+    nodes = scratch.write(nodes.withColumn("component", F.coalesce("component", node)), "nodes")
+    names = scratch.write(nodes.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("nodes")), "names")
+    large = hot_keys(names, "component", "nodes", scratch, "hot-components")
+    named = scratch.write(join_hot(nodes, names, "component", large, node).select(node, "component_id"), "named")
+    return join_hot(marked, named, node, hot_keys(distinct, node, "rows", scratch, "hot-nodes"), "doc_id")
 
 
 def shingle_set(text: str, words: int = COPY_WORDS, seed: int = SEED) -> np.ndarray:
@@ -226,7 +233,7 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PE
     fields = [field("node", "long"), field("n", "long"), field("fingerprint", "long"), T.StructField("bands", T.ArrayType(T.LongType()))]
     marked = scratch.write(map_rows(rows, make, fields, keep=["doc_id"]), "marked")
     # Texts of one set have one number of shingles and the same bands; their fingerprints may differ by repeats.
-    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
+    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     distinct = scratch.write(distinct, "distinct")
 
     prints = scratch.write(distinct.groupBy("fingerprint").agg(F.min("node").alias("m")), "prints")
@@ -260,11 +267,7 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PE
             yield b.select(["u", "v"]).filter(is_copy)
 
     found = scratch.write(both.select("u", "v", "set_u", "set_v").mapInArrow(verify, T.StructType([field("u", "long"), field("v", "long")])), "found")
-    joined = components(found, scratch)
-    named = distinct.select("node", "least_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_node = scratch.write(named.join(names, "component").select("node", "component_id"), "named")
-    return marked.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
+    return _of_rows(marked.select("doc_id", "node"), distinct, "node", components(found, scratch), scratch).select("doc_id", "component_id")
 
 
 def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
