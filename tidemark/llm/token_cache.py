@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.buckets import hot_keys, join_hot
 from tidemark.llm.common import Scratch, documents, field, id_and_text, map_rows
 from tidemark.llm.ranks import encoder_for, ranks_are_equivalent
 from tidemark.llm.segments import vocabulary_digest, vocabulary_path
@@ -41,12 +42,14 @@ def count_tokens(docs: DataFrame, cache_path: str, vocabulary: str = VOCABULARY,
     by_ranks = ranks_are_equivalent(vocabulary_path(vocabulary))
     rows = id_and_text(docs, id_col, text_col).withColumn("content_digest", F.unhex(F.sha2("text", 256)))
     keyed = scratch.write(rows.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")), "keyed")
+    contents = scratch.write(keyed.groupBy("content_digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")), "contents")
+    hot = hot_keys(contents, "content_digest", "rows", scratch, "hot")
     stored = read_cache(spark, cache_path, tokenizer)
-    misses = keyed.groupBy("content_digest").agg(F.min("doc_id").alias("least_id")).join(stored, "content_digest", "left_anti")
+    misses = contents.drop("rows").join(stored, "content_digest", "left_anti")
     misses = scratch.write(misses.withColumnRenamed("content_digest", "miss_digest"), "misses")
     n_misses = misses.count()
     if not n_misses:
-        return _counts(keyed, stored)
+        return _counts(keyed, stored, hot)
     how = "broadcast" if n_misses * MISS_BYTES <= FEW_BYTES else "shuffle_hash"
     carriers = rows.join(misses.hint(how), (F.col("content_digest") == F.col("miss_digest")) & F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
 
@@ -61,11 +64,11 @@ def count_tokens(docs: DataFrame, cache_path: str, vocabulary: str = VOCABULARY,
 
     counted = map_rows(carriers, make, [field("n_tokens", "long")], keep=["content_digest"]).dropDuplicates(["content_digest"])
     counted.select("content_digest", F.lit(tokenizer).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
-    return _counts(keyed, read_cache(spark, cache_path, tokenizer))
+    return _counts(keyed, read_cache(spark, cache_path, tokenizer), hot)
 
 
-def _counts(keyed: DataFrame, known: DataFrame) -> DataFrame:
-    return keyed.join(known, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens")
+def _counts(keyed: DataFrame, known: DataFrame, hot: DataFrame) -> DataFrame:
+    return join_hot(keyed, known, "content_digest", hot, "doc_id", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, limit: int = 512) -> DataFrame:
