@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.buckets import by_group, whole_groups
+from tidemark.llm.buckets import by_group, hot_keys, join_hot, whole_groups
 from tidemark.llm.common import Scratch, documents, field, id_and_text, tune
 from tidemark.llm.suffixes import MAX_LENGTH, repeated_starts
 
@@ -237,13 +237,14 @@ def repeated_parts(rows: DataFrame, lengths: tuple[int, ...], scratch: Scratch,
     texts = scratch.write(texts.withColumn("text_id", F.monotonically_increasing_id()), "texts")
     scratch.drop("scanned")
     runs = texts.select("text_id", F.explode("runs").alias("r")).select("text_id", "r.*")
-    keys = runs.groupBy("key").agg(F.count("*").alias("_n"), F.max("twice").alias("_t")).where("_n > 1 or _t").select("key")
-    wanted = runs.join(scratch.write(keys, "keys"), "key", "left_semi").groupBy("text_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
+    keys = runs.groupBy("key").agg(F.count("*").alias("_n"), F.max("twice").alias("_t")).where("_n > 1 or _t").select("key", "_n")
+    keys = scratch.write(keys, "keys")
+    wanted = join_hot(runs, keys.select("key"), "key", hot_keys(keys, "key", "_n", scratch, "hot-keys"), "text_id").groupBy("text_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
     wanted = scratch.write(wanted.join(texts.select("text_id", F.col("digest").alias("of"), "carrier"), "text_id"), "wanted")
     carriers = _packed(rows).join(wanted.hint("shuffle_hash"), (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("carrier")))
     found = scratch.write(_run_texts(carriers, reach), "found")
     owners = scratch.write(found.select("text_id", "start", "n", "text_key").distinct(), "owners")
-    counts = owners.groupBy("text_key").agg(F.count("*").alias("owners"))
+    counts = scratch.write(owners.groupBy("text_key").agg(F.count("*").alias("owners")), "counts")
     distinct = found.groupBy("text_key", "key").agg(F.first("n").alias("n"), F.first("run_text").alias("run_text"))
     distinct = scratch.write(distinct.join(counts, "text_key"), "distinct")
     scratch.drop("found", "wanted", "keys")
@@ -259,7 +260,8 @@ def repeated_parts(rows: DataFrame, lengths: tuple[int, ...], scratch: Scratch,
         marks = marks.unionByName(_by_window_digests(distinct.join(large, "key", "left_semi"), lengths, scratch))
     copied = distinct.where("owners > 1").select("text_key", F.array(*[_full_marks(F.least("n", F.octet_length("run_text") - length + 1)) for length in lengths]).alias("windows"))
     marks = scratch.write(marks.unionByName(copied), "marks")
-    spans = owners.join(marks, "text_key").groupBy("text_id").agg(F.collect_list(F.struct("start", "windows")).alias("found"))
+    hot = hot_keys(counts, "text_key", "owners", scratch, "hot-texts")
+    spans = join_hot(owners, marks, "text_key", hot, "text_id").groupBy("text_id").agg(F.collect_list(F.struct("start", "windows")).alias("found"))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= least)
     parts = texts.select("text_id", "digest", "n_bytes", whole.alias("copied")).join(spans, "text_id", "left").where("copied or found is not null")
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("copied", T.BooleanType()), T.StructField("spans", T.ArrayType(T.BinaryType()))])
@@ -278,7 +280,7 @@ def repeated_parts(rows: DataFrame, lengths: tuple[int, ...], scratch: Scratch,
             yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("copied"), pa.array(out, pa.list_(pa.binary()))], names=schema.names)
 
     parts = scratch.write(parts.select("digest", "copied", "found", "n_bytes").mapInArrow(merged, schema), "parts")
-    scratch.drop("texts", "owners", "distinct", "sizes", "marks", "windows", "repeated")
+    scratch.drop("texts", "owners", "counts", "distinct", "sizes", "marks", "windows", "repeated", "hot-keys", "hot-texts")
     return parts
 
 
