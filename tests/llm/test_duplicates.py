@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import buckets, forest, graph, repeats, simhash
+from tidemark.llm import buckets, forest, graph, repeats, simhash, suffixes
 from tidemark.llm.common import Scratch
 from tidemark.llm.suffixes import repeated_starts, suffix_array
 
@@ -254,6 +254,31 @@ def test_suffix_array(text):
     assert suffix_array(np.array(text, np.int64)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([1, 2, 9, 10**12]), max_size=60), st.randoms(use_true_random=False))
+def test_suffix_array_of_some_starts(text, rng):
+    wanted = [rng.random() < 0.4 for _ in text]
+    got = suffix_array(np.array(text, np.int64), np.array(wanted, bool)).tolist()
+    assert got == [i for i in sorted(range(len(text)), key=lambda i: text[i:]) if wanted[i]]
+
+
+@pytest.mark.parametrize("bits", [1, 20, 54, 55, 63])
+def test_order_of_keys_whose_places_fit_or_not(bits):
+    key = np.random.default_rng(bits).integers(0, 1 << bits, 1000).astype(np.uint64) >> np.uint64(1) << np.uint64(1)
+    assert suffixes._order(key, bits).tolist() == sorted(range(len(key)), key=lambda i: (int(key[i]), i))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=120), st.integers(1, 12), st.integers(0, 12), st.randoms(use_true_random=False))
+def test_repeated_starts_of_some_starts(text, length, more, rng):
+    starts = [i for i in range(len(text)) if rng.random() < 0.6]
+    room = [rng.randint(0, len(text) - i) for i in starts]
+    found = repeated_starts(np.array(text, np.int64), np.array(starts, np.int64), np.array(room, np.int64), (length, length + more))
+    for size, got in zip((length, length + more), found, strict=True):
+        count = Counter(tuple(text[i : i + size]) for i, r in zip(starts, room, strict=True) if r >= size)
+        assert got.tolist() == [r >= size and count[tuple(text[i : i + size])] > 1 for i, r in zip(starts, room, strict=True)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 2), min_size=4, max_size=60), st.lists(st.integers(1, 12), min_size=1, max_size=3))
 def test_repeated_starts(text, lengths):

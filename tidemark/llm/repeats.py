@@ -3,8 +3,8 @@
 Equal strings must meet before they can be sorted, and only strings that may repeat need to.  Each window of ``length``
 bytes has a key that depends on its bytes alone: the least hash of the shorter strings inside it.  Consecutive windows
 of one key are a run; runs whose key occurs once in the corpus can't repeat and go no further.  The texts of the other
-runs are dealt by key; each task sorts the suffixes of the runs it gets by the difference-cover algorithm and compares
-neighbours' prefixes.  Equal run texts are one text with a count before that.  A key with more text than one array
+runs are dealt by key; each task drops what no window with a shared hash covers, sorts the suffixes of the rest by the
+difference-cover algorithm and compares neighbours' prefixes.  Equal run texts are one text with a count before that.  A key with more text than one array
 takes is settled by digests of its windows instead, which Spark counts with partial aggregates.
 
 Several lengths are judged in one pass: keys are those of the shortest, and a run's text reaches as far as the longest.
