@@ -156,6 +156,64 @@ def test_near_copies_at_the_similarity(spark):
     assert simhash.near_copies(docs.limit(0)).count() == 0
 
 
+def family(pairs: int) -> list[str]:
+    """Pairs of texts at a Jaccard similarity of 0.8 and a little more, whose other near texts are all just below it."""
+    rng = random.Random(11)
+
+    def changed(words, times):  # each change parts five shingles of 296
+        out = list(words)
+        for k in rng.sample(range(2, 295, 5), times):
+            out[k] = f"x{rng.randrange(10**6)}"
+        return out
+
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    firsts = [changed(base, 5) for _ in range(pairs)]
+    return [" ".join(t) for first in firsts for t in (first, changed(first, 6))]
+
+
+@pytest.mark.parametrize("cell_limit", [20_000, 50])
+def test_near_copies_lose_no_link_among_texts_just_below(spark, cell_limit):
+    """Large groups that share least hashes and shingles without being copies hide no pair that is one."""
+    rows = family(100) + ["few words", "", "FEW words", None]
+    sets = [simhash.shingle_set(t or "") for t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if simhash.similar(sets[i], sets[j])]
+    assert len(pairs) >= 100
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, **({"cell_limit": cell_limit} if cell_limit < 20_000 else {})).collect()}
+    assert got == united(range(len(rows)), pairs)
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(3)
+    levels = rng.integers(0, 4, simhash.SLOTS).astype(np.uint8)
+    tight = 0
+    for n in [*range(1, 60), 250, 997]:
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        assert simhash.prefix_length(len(a)) == len(a) - -(-4 * len(a) // 5) + 1
+        for gone in range(len(a) // 5 + 1):
+            b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 1 << 63, rng.integers(0, len(a) // 4 + 1), dtype=np.uint64)]))
+            c = np.setdiff1d(a, simhash.rarest(a, levels)[:gone])  # without the rarest ones
+            for other in (b, c):
+                if simhash.similar(a, other):
+                    tight += 1
+                    assert len(np.intersect1d(simhash.rarest(a, levels), simhash.rarest(other, levels)))
+    assert tight > 500 and simhash.prefix_length(0) == 0
+
+
+@pytest.mark.parametrize("limit", [20_000, 30])
+def test_meetings_of_other_components(spark, limit):
+    """Of every shared key the pairs of different components, in small groups and large, whole and in tiles."""
+    rng = random.Random(2)
+    rows = [(key, node, 20, rng.randrange(4), node % 3 if key % 2 else node) for key, size in ((0, 5), (1, 90), (2, 100), (3, 1)) for node in rng.sample(range(1000), size)]
+    shared = spark.createDataFrame(rows, "key long, node long, n long, at long, component long")
+    got = {(r.u, r.v) for r in simhash.meetings(shared, 80, Scratch(spark, "t"), "t", limit=limit).collect()}
+    # Two sets of 20 must share 18, so the key stands at 2 or before in both.
+    want = {(max(a[1], b[1]), min(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[4] != b[4] and max(a[3], b[3]) <= 2}
+    assert got == want and len(want) > 3000
+    near = {(r.u, r.v) for r in simhash.meetings(shared, 80, Scratch(spark, "t"), "t", chain=True, limit=limit).collect()}
+    assert near < want and len(near) > 100
+
+
 def test_forest_of_edges_needs_no_pairs():
     asked = Counter()
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.buckets import by_group, forest, hot_keys, join_hot, tiled, whole_groups
-from tidemark.llm.common import Scratch, documents, field, id_and_text, map_rows
+from tidemark.llm.common import Scratch, documents, field, id_and_text, map_rows, texts_of
 from tidemark.llm.graph import components
 
 SEGMENTS, RADIUS, WORDS, SEED = 32, 4, 4, 42
@@ -30,8 +30,10 @@ SAME = 6 / 16
 CELL_LIMIT = 20_000
 #: What links two texts of the pipeline: shingles of so many words, Jaccard similarity in percent.
 COPY_WORDS, COPY_PERCENT = 5, 80
-#: Bands of so many least hashes: of pairs at the similarity itself one in 2,900 shares no band.
-BANDS, BAND_ROWS = 20, 5
+#: Slots in which shingles are counted, to order them by frequency, and slices in which the counts are added up.
+SLOTS, SLICES = 1 << 20, 64
+#: Members of a large group that a set is held against first.
+NEIGHBOURS = 4
 
 
 def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -185,32 +187,126 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = COPY_PERCENT) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A key (signed 64 bits) of every band of least hashes; an empty set has none."""
-    from xxhash import xxh64_intdigest
+def prefix_length(n: int, percent: int = COPY_PERCENT) -> int:
+    """So many of a set's ``n`` first shingles, in an order that all sets share, hold one of any set this similar: the two
+    have at least ``percent`` of the n in common, so the first common one stands no later."""
+    return n + 1 + -percent * n // 100 if n else 0
+
+
+def slot_levels(rows: DataFrame, words: int = COPY_WORDS) -> np.ndarray:
+    """How frequent shingles are, a byte for each of ``SLOTS`` slots of their hashes, in eighths of an octave.
+
+    Every text is counted, one array a task.  The levels only order shingles, rare ones first; no result hangs on them.
+    """
+
+    def count(batches):
+        total, seen = np.zeros(SLOTS, np.int64), False
+        for b in batches:
+            hashes = [h for t in texts_of(b.column("text")) for h in shingle_hashes(t, words)]
+            if hashes:
+                total += np.bincount((np.concatenate(hashes) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                seen = True
+        if seen:
+            parts = total.astype(np.int32).reshape(SLICES, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "counts"])
+
+    def add(batches):
+        sums = {}
+        for b in batches:
+            for k, counts in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+        levels = [(8 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(levels, pa.binary())], names=["slice", "counts"])
+
+    schema = T.StructType([field("slice", "long"), field("counts", "binary")])
+    found = np.zeros((SLICES, SLOTS // SLICES), np.uint8)
+    for r in rows.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect():
+        found[r["slice"]] = np.frombuffer(r["counts"], np.uint8)
+    return found.reshape(-1)
+
+
+def rarest(hashes: np.ndarray, levels: np.ndarray, percent: int = COPY_PERCENT) -> np.ndarray:
+    """The prefix of a set (sorted hashes) by (level, hash)."""
+    order = np.argsort(levels[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")
+    return hashes[order[: prefix_length(len(hashes), percent)]]
+
+
+def meetings(shared: DataFrame, percent: int, scratch: Scratch, name: str, chain: bool = False, limit: int = CELL_LIMIT) -> DataFrame:
+    """Pairs (u, v), u > v, of nodes of different components that share a ``key`` and can have the similarity: by their
+    numbers of shingles ``n`` and by what is left of both behind the key's places ``at``, as if it were the first they share.
+    With ``chain`` only close neighbours in an order that is another for every key."""
+    key = ["key", "tile_a", "tile_b"]
+    dealt = tiled(shared.select("key", "node", "n", "at", "component"), ["key"], "node", limit, scratch, name)
 
-    if not len(hashes):
-        return []
-    rng = np.random.default_rng(SEED)
-    factor, shift = rng.integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[i : i + 4096, None] * factor + shift).min(axis=0), out=least)
-    return np.array([xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, -1))], np.uint64).view(np.int64).tolist()
+    def run(batches):
+        for table, ends in whole_groups(batches, key):
+            node, n, at, component, keys = (table.column(c).to_numpy() for c in ("node", "n", "at", "component", "key"))
+            rest = n - at
 
+            def can(i, j, n=n, rest=rest, component=component):
+                least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                fits = (100 * least >= percent * most) & ((100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (least + most))
+                return fits & (component[i] != component[j])
 
-def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            def out(i, j, node=node):
+                pairs = np.unique(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], 1), axis=0)
+                return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+            sizes = np.diff(ends)
+            if chain:
+                salt = (node ^ keys).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                group = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((salt, group))
+                for d in range(1, NEIGHBOURS + 1):
+                    i, j = order[:-d], order[d:]
+                    met = (group[i] == group[j]) & can(i, j)
+                    yield out(i[met], j[met])
+                continue
+            # Small groups: all at once, row against the d-th row below.
+            end_of, row = np.repeat(ends[1:], sizes), np.flatnonzero(np.repeat(sizes <= 64, sizes))
+            for d in range(1, 64):
+                row = row[row + d < end_of[row]]
+                if not len(row):
+                    break
+                met = row[can(row, row + d)]
+                if len(met):
+                    yield out(met, met + d)
+            for s, e in zip(ends[:-1][sizes > 64], ends[1:][sizes > 64], strict=True):
+                # Rows of the largest component come last and need no partners of their own.
+                _, which, many = np.unique(component[s:e], return_inverse=True, return_counts=True)
+                last = which == many.argmax()
+                order = s + np.concatenate([np.flatnonzero(~last), np.flatnonzero(last)])
+                a, b, held = [], [], 0
+                for k in range(e - s - int(last.sum())):
+                    others = order[k + 1 :]
+                    met = others[can(order[k], others)]
+                    if len(met):
+                        a.append(np.full(len(met), order[k]))
+                        b.append(met)
+                        held += len(met)
+                    if held > 1 << 18:
+                        yield out(np.concatenate(a), np.concatenate(b))
+                        a, b, held = [], [], 0
+                if held:
+                    yield out(np.concatenate(a), np.concatenate(b))
+
+    return by_group(dealt, key).mapInArrow(run, T.StructType([field("u", "long"), field("v", "long")])).distinct()
+
+
+def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PERCENT, id_col: str = "doc_id", text_col: str = "text", cell_limit: int = CELL_LIMIT) -> DataFrame:
     """doc_id, component_id of every row: the least doc_id of the rows reachable over texts whose sets of shingles have
     a Jaccard similarity of ``percent``.
 
     At that similarity fingerprints differ in some 5 to 13 of 64 bits; the grid of such a radius has cells of a tenth of
-    all rows.  So candidates are fingerprints within ``RADIUS`` and sets that share a band of least hashes, there held
-    against two centres of the band's group (the least and the greatest set by hash), never pair by pair.  Every
-    candidate is compared exactly.  Texts of one set are one node however many they are.  Ids must be unique and not
-    null (row numbers, say).
+    all rows.  So fingerprints within ``RADIUS`` give the first candidates, and the rest come from prefixes: sets of this
+    similarity share one of their rarest shingles (``prefix_length``), so no pair is left out.  Every candidate is compared
+    exactly.  Where the groups of a shingle hold more pairs than all prefixes have rows, neighbours are linked first and
+    then only pairs of different components are left to compare.  Texts of one set are one node however many they are.
+    Ids must be unique and not null (row numbers, say).
     """
     scratch = Scratch(docs.sparkSession, "copies")
     rows = id_and_text(docs, id_col, text_col)
+    levels = slot_levels(rows, words)
 
     def make():
         from xxhash import xxh64_intdigest
@@ -225,49 +321,65 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PE
                 "node": np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64),
                 "n": [len(s) for s in sets],
                 "fingerprint": np.array(prints, np.uint64).view(np.int64),
-                "bands": [band_keys(s) for s in sets],
+                "prefix": [rarest(s, levels, percent).view(np.int64) for s in sets],
             }
 
         return work
 
-    fields = [field("node", "long"), field("n", "long"), field("fingerprint", "long"), T.StructField("bands", T.ArrayType(T.LongType()))]
-    marked = scratch.write(map_rows(rows, make, fields, keep=["doc_id"]), "marked")
-    # Texts of one set have one number of shingles and the same bands; their fingerprints may differ by repeats.
-    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
-    distinct = scratch.write(distinct, "distinct")
+    fields = [field("node", "long"), field("n", "long"), field("fingerprint", "long"), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    read = scratch.write(map_rows(rows, make, fields, keep=["doc_id"]), "read")
+    # Texts of one set have one number of shingles and the same prefix; their fingerprints may differ by repeats.
+    whole = read.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.first("prefix").alias("prefix"), F.count("*").alias("rows"))
+    whole = scratch.write(whole, "whole")
+    marked, distinct = scratch.write(read.select("doc_id", "node"), "marked"), scratch.write(whole.drop("prefix"), "distinct")
+    scratch.drop("read")
+    tokens = whole.select("node", "n", F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at").cast("long"))
+    groups = scratch.write(tokens.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "groups")
+    shared = scratch.write(tokens.join(groups.select("key").hint("shuffle_hash"), "key", "left_semi").withColumn("component", F.col("node")), "shared")
+    many = groups.agg(F.sum(F.expr("rows * (rows - 1) / 2")).alias("n")).first()["n"] or 0
+    in_rounds = many > whole.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] if many else False
+    scratch.drop("whole")
+
+    def verified(pairs, name):
+        """Of the pairs those that have the similarity."""
+        pairs = scratch.write(pairs, f"{name}-pairs")
+        # Sets of the candidates only, out of one text each.
+        wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        one_each = distinct.select("node", F.col("least_id").alias("doc_id")).join(wanted, "node")
+
+        def parse():
+            return lambda texts: {"set": [shingle_set(t, words).tobytes() for t in texts]}
+
+        sets = scratch.write(map_rows(rows.join(one_each, "doc_id"), parse, [field("set", "binary")], keep=["node"]), f"{name}-sets")
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
+
+        def verify(batches):
+            for b in batches:
+                of = zip(b.column("set_u").to_pylist(), b.column("set_v").to_pylist(), strict=True)
+                is_copy = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in of], pa.bool_())
+                yield b.select(["u", "v"]).filter(is_copy)
+
+        found = scratch.write(both.select("u", "v", "set_u", "set_v").mapInArrow(verify, T.StructType([field("u", "long"), field("v", "long")])), f"{name}-found")
+        scratch.drop(f"{name}-sets", f"{name}-pairs")
+        return found
 
     prints = scratch.write(distinct.groupBy("fingerprint").agg(F.min("node").alias("m")), "prints")
     edges = scratch.write(links(prints.select("fingerprint"), scratch), "links")
     ends = edges.join(prints.select(F.col("fingerprint").alias("a"), F.col("m").alias("u")), "a").join(prints.select(F.col("fingerprint").alias("b"), F.col("m").alias("v")), "b")
     pairs = ends.select("u", "v").unionByName(distinct.join(prints, "fingerprint").select(F.col("node").alias("u"), F.col("m").alias("v")))
-    banded = distinct.select("node", F.posexplode("bands").alias("band", "key"))
-    centres = banded.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = banded.join(scratch.write(centres, "centres"), ["band", "key"])
-    pairs = pairs.unionByName(met.select(F.col("node").alias("u"), F.explode(F.array("low", "high")).alias("v")))
-    pairs = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    pairs = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     sizes = lambda end: distinct.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"))
     # Sets whose sizes are further apart than the similarity can't have it.
     pairs = pairs.join(sizes("u"), "u").join(sizes("v"), "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")).select("u", "v")
-    pairs = scratch.write(pairs, "pairs")
-
-    # Sets of the candidates only, out of one text each.
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    one_each = distinct.select("node", F.col("least_id").alias("doc_id")).join(wanted, "node")
-
-    def read():
-        return lambda texts: {"set": [shingle_set(t, words).tobytes() for t in texts]}
-
-    sets = scratch.write(map_rows(rows.join(one_each, "doc_id"), read, [field("set", "binary")], keep=["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
-
-    def verify(batches):
-        for b in batches:
-            of = zip(b.column("set_u").to_pylist(), b.column("set_v").to_pylist(), strict=True)
-            is_copy = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in of], pa.bool_())
-            yield b.select(["u", "v"]).filter(is_copy)
-
-    found = scratch.write(both.select("u", "v", "set_u", "set_v").mapInArrow(verify, T.StructType([field("u", "long"), field("v", "long")])), "found")
-    return _of_rows(marked.select("doc_id", "node"), distinct, "node", components(found, scratch), scratch).select("doc_id", "component_id")
+    found = verified(pairs.unionByName(meetings(shared, percent, scratch, "first", in_rounds, cell_limit)).distinct(), "first")
+    if in_rounds:
+        joined = components(found, Scratch(docs.sparkSession, "copies-first"))
+        placed = shared.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = scratch.write(placed, "placed")
+        apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+        left = scratch.write(placed.join(apart, "key", "left_semi"), "left")
+        found = found.unionByName(verified(meetings(left, percent, scratch, "rest", limit=cell_limit), "rest"))
+    return _of_rows(marked, distinct, "node", components(found, scratch), scratch).select("doc_id", "component_id")
 
 
 def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
