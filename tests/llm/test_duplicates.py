@@ -210,7 +210,7 @@ def test_meetings_of_other_components(spark, limit):
     # Two sets of 20 must share 18, so the key stands at 2 or before in both.
     want = {(max(a[1], b[1]), min(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[4] != b[4] and max(a[3], b[3]) <= 2}
     assert got == want and len(want) > 3000
-    near = {(r.u, r.v) for r in simhash.meetings(shared, 80, Scratch(spark, "t"), "t", chain=True, limit=limit).collect()}
+    near = {(r.u, r.v) for r in simhash.meetings(shared, 80, Scratch(spark, "t"), "t", chain=4, limit=limit).collect()}
     assert near < want and len(near) > 100
 
 

@@ -32,7 +32,7 @@ CELL_LIMIT = 20_000
 COPY_WORDS, COPY_PERCENT = 5, 80
 #: Slots in which shingles are counted, to order them by frequency, and slices in which the counts are added up.
 SLOTS, SLICES = 1 << 20, 64
-#: Members of a large group that a set is held against first.
+#: Neighbours in a large group that a set is held against first.
 NEIGHBOURS = 4
 
 
@@ -231,10 +231,10 @@ def rarest(hashes: np.ndarray, levels: np.ndarray, percent: int = COPY_PERCENT)
     return hashes[order[: prefix_length(len(hashes), percent)]]
 
 
-def meetings(shared: DataFrame, percent: int, scratch: Scratch, name: str, chain: bool = False, limit: int = CELL_LIMIT) -> DataFrame:
+def meetings(shared: DataFrame, percent: int, scratch: Scratch, name: str, chain: int = 0, limit: int = CELL_LIMIT) -> DataFrame:
     """Pairs (u, v), u > v, of nodes of different components that share a ``key`` and can have the similarity: by their
     numbers of shingles ``n`` and by what is left of both behind the key's places ``at``, as if it were the first they share.
-    With ``chain`` only close neighbours in an order that is another for every key."""
+    With ``chain`` only neighbours up to so many rows apart, in an order that is another for every key and every number."""
     key = ["key", "tile_a", "tile_b"]
     dealt = tiled(shared.select("key", "node", "n", "at", "component"), ["key"], "node", limit, scratch, name)
 
@@ -254,10 +254,10 @@ def meetings(shared: DataFrame, percent: int, scratch: Scratch, name: str, chain
 
             sizes = np.diff(ends)
             if chain:
-                salt = (node ^ keys).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                salt = (node ^ keys).view(np.uint64) * (np.random.default_rng(chain).integers(1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
                 group = np.repeat(np.arange(len(sizes)), sizes)
                 order = np.lexsort((salt, group))
-                for d in range(1, NEIGHBOURS + 1):
+                for d in range(1, min(chain, int(sizes.max()) - 1) + 1):
                     i, j = order[:-d], order[d:]
                     met = (group[i] == group[j]) & can(i, j)
                     yield out(i[met], j[met])
@@ -300,8 +300,8 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PE
     At that similarity fingerprints differ in some 5 to 13 of 64 bits; the grid of such a radius has cells of a tenth of
     all rows.  So fingerprints within ``RADIUS`` give the first candidates, and the rest come from prefixes: sets of this
     similarity share one of their rarest shingles (``prefix_length``), so no pair is left out.  Every candidate is compared
-    exactly.  Where the groups of a shingle hold more pairs than all prefixes have rows, neighbours are linked first and
-    then only pairs of different components are left to compare.  Texts of one set are one node however many they are.
+    exactly.  Where the groups of a shingle hold more pairs than all prefixes have rows, neighbours are linked first, in
+    rounds while they find links, and then all pairs of different components are compared.  Texts of one set are one node however many they are.
     Ids must be unique and not null (row numbers, say).
     """
     scratch = Scratch(docs.sparkSession, "copies")
@@ -371,14 +371,23 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PE
     sizes = lambda end: distinct.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"))
     # Sets whose sizes are further apart than the similarity can't have it.
     pairs = pairs.join(sizes("u"), "u").join(sizes("v"), "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")).select("u", "v")
-    found = verified(pairs.unionByName(meetings(shared, percent, scratch, "first", in_rounds, cell_limit)).distinct(), "first")
-    if in_rounds:
-        joined = components(found, Scratch(docs.sparkSession, "copies-first"))
+    found = verified(pairs.unionByName(meetings(shared, percent, scratch, "met-0", NEIGHBOURS if in_rounds else 0, cell_limit)).distinct(), "met-0")
+    k, linked = 0, True
+    while in_rounds:
+        k += 1
+        joined = components(found, Scratch(docs.sparkSession, "copies-joined"))
         placed = shared.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = scratch.write(placed, "placed")
+        placed = scratch.write(placed, f"placed-{k}")
         apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-        left = scratch.write(placed.join(apart, "key", "left_semi"), "left")
-        found = found.unionByName(verified(meetings(left, percent, scratch, "rest", limit=cell_limit), "rest"))
+        left = scratch.write(placed.join(apart, "key", "left_semi"), f"left-{k}")
+        scratch.drop(f"placed-{k}")
+        alike = left.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.expr("c * c")).alias("s"))
+        now = alike.agg(F.sum("c").alias("rows"), F.sum(F.expr("(c * c - s) / 2")).alias("n")).first()
+        # Four times the neighbours while that links something and is less than all pairs, which the last round compares.
+        near = NEIGHBOURS * 4**k
+        in_rounds = linked and (now["n"] or 0) > near * (now["rows"] or 0)
+        more = verified(meetings(left, percent, scratch, f"met-{k}", near if in_rounds else 0, cell_limit), f"met-{k}")
+        found, linked = found.unionByName(more), not more.isEmpty()
     return _of_rows(marked, distinct, "node", components(found, scratch), scratch).select("doc_id", "component_id")
 
 
