@@ -34,6 +34,8 @@ COPY_WORDS, COPY_PERCENT = 5, 80
 SLOTS, SLICES = 1 << 20, 64
 #: Neighbours in a large group that a set is held against first.
 NEIGHBOURS = 4
+#: Bits of a set's parity sketch.
+SKETCH = 512
 
 
 def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -193,6 +195,13 @@ def prefix_length(n: int, percent: int = COPY_PERCENT) -> int:
     return n + 1 + -percent * n // 100 if n else 0
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each of ``SKETCH`` slots whether an odd number of the set's hashes is in it.  A shared hash leaves no difference, so
+    two sketches differ in at most as many bits as hashes are in one set only."""
+    slots = np.bincount((hashes >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64), minlength=SKETCH)
+    return np.packbits(slots & 1).tobytes()
+
+
 def slot_levels(rows: DataFrame, words: int = COPY_WORDS) -> np.ndarray:
     """How frequent shingles are, a byte for each of ``SLOTS`` slots of their hashes, in eighths of an octave.
 
@@ -233,20 +242,28 @@ def rarest(hashes: np.ndarray, levels: np.ndarray, percent: int = COPY_PERCENT)
 
 def meetings(shared: DataFrame, percent: int, scratch: Scratch, name: str, chain: int = 0, limit: int = CELL_LIMIT) -> DataFrame:
     """Pairs (u, v), u > v, of nodes of different components that share a ``key`` and can have the similarity: by their
-    numbers of shingles ``n`` and by what is left of both behind the key's places ``at``, as if it were the first they share.
+    numbers of shingles ``n``, by what is left of both behind the key's places ``at``, as if it were the first they share, and
+    by the bits in which their sketches (where ``shared`` has them) differ.
     With ``chain`` only neighbours up to so many rows apart, in an order that is another for every key and every number."""
     key = ["key", "tile_a", "tile_b"]
-    dealt = tiled(shared.select("key", "node", "n", "at", "component"), ["key"], "node", limit, scratch, name)
+    sketched = ["sketch"] if "sketch" in shared.columns else []
+    dealt = tiled(shared.select("key", "node", "n", "at", "component", *sketched), ["key"], "node", limit, scratch, name)
 
     def run(batches):
         for table, ends in whole_groups(batches, key):
             node, n, at, component, keys = (table.column(c).to_numpy() for c in ("node", "n", "at", "component", "key"))
             rest = n - at
+            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1) if sketched else np.zeros((len(n), 1), np.uint64)
 
-            def can(i, j, n=n, rest=rest, component=component):
+            def can(i, j, n=n, rest=rest, bits=bits, component=component):
+                """Whether the pairs (i, j) can; i is one row or as many as j."""
                 least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                 fits = (100 * least >= percent * most) & ((100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (least + most))
-                return fits & (component[i] != component[j])
+                fits &= component[i] != component[j]
+                at = np.flatnonzero(fits)
+                apart = np.bitwise_count(bits[i[at] if np.ndim(i) else i] ^ bits[j[at]]).sum(axis=1, dtype=np.int64)
+                fits[at] = (100 + percent) * apart <= (100 - percent) * (least + most)[at]
+                return fits
 
             def out(i, j, node=node):
                 pairs = np.unique(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], 1), axis=0)
@@ -322,20 +339,22 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PE
                 "n": [len(s) for s in sets],
                 "fingerprint": np.array(prints, np.uint64).view(np.int64),
                 "prefix": [rarest(s, levels, percent).view(np.int64) for s in sets],
+                "sketch": [sketch(s) for s in sets],
             }
 
         return work
 
-    fields = [field("node", "long"), field("n", "long"), field("fingerprint", "long"), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    fields = [field("node", "long"), field("n", "long"), field("fingerprint", "long"), T.StructField("prefix", T.ArrayType(T.LongType())), field("sketch", "binary")]
     read = scratch.write(map_rows(rows, make, fields, keep=["doc_id"]), "read")
     # Texts of one set have one number of shingles and the same prefix; their fingerprints may differ by repeats.
-    whole = read.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.first("prefix").alias("prefix"), F.count("*").alias("rows"))
+    whole = read.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.count("*").alias("rows"))
     whole = scratch.write(whole, "whole")
     marked, distinct = scratch.write(read.select("doc_id", "node"), "marked"), scratch.write(whole.drop("prefix"), "distinct")
     scratch.drop("read")
     tokens = whole.select("node", "n", F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at").cast("long"))
     groups = scratch.write(tokens.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "groups")
-    shared = scratch.write(tokens.join(groups.select("key").hint("shuffle_hash"), "key", "left_semi").withColumn("component", F.col("node")), "shared")
+    shared = scratch.write(tokens.join(groups.select("key").hint("shuffle_hash"), "key", "left_semi"), "shared")
+    left = scratch.write(shared.join(distinct.select("node", "sketch"), "node").withColumn("component", F.col("node")), "left-0")
     many = groups.agg(F.sum(F.expr("rows * (rows - 1) / 2")).alias("n")).first()["n"] or 0
     in_rounds = many > whole.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] if many else False
     scratch.drop("whole")
@@ -371,12 +390,12 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PE
     sizes = lambda end: distinct.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"))
     # Sets whose sizes are further apart than the similarity can't have it.
     pairs = pairs.join(sizes("u"), "u").join(sizes("v"), "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")).select("u", "v")
-    found = verified(pairs.unionByName(meetings(shared, percent, scratch, "met-0", NEIGHBOURS if in_rounds else 0, cell_limit)).distinct(), "met-0")
+    found = verified(pairs.unionByName(meetings(left, percent, scratch, "met-0", NEIGHBOURS if in_rounds else 0, cell_limit)).distinct(), "met-0")
     k, linked = 0, True
     while in_rounds:
         k += 1
         joined = components(found, Scratch(docs.sparkSession, "copies-joined"))
-        placed = shared.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = left.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         placed = scratch.write(placed, f"placed-{k}")
         apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
         left = scratch.write(placed.join(apart, "key", "left_semi"), f"left-{k}")
