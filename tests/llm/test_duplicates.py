@@ -200,6 +200,25 @@ def test_prefixes_of_similar_sets_meet():
     assert tight > 500 and simhash.prefix_length(0) == 0
 
 
+def test_one_key_of_those_with_the_same_nodes(spark):
+    """The first by the order of the prefixes stays; other sets of nodes, of one size too, keep their own, lone nodes none."""
+    rows = [(key, node, at) for key, nodes, at in ((9, (1, 2), 0), (5, (1, 2), 1), (7, (1, 2), 2), (4, (1, 3), 3), (3, (1, 2, 3), 4), (8, (3,), 0)) for node in nodes]
+    tokens = spark.createDataFrame(rows, "key long, node long, at long")
+    assert sorted(tuple(r) for r in simhash.first_keys(tokens).collect()) == [(3, 3), (4, 2), (9, 2)]
+
+
+def test_all_pairs_follow_one_round_of_neighbours(spark, monkeypatch):
+    """Where comparisons are few a row, no further round passes over all rows."""
+    written, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, *a: written.append(name) or write(self, df, name, *a))
+    rows = family(100)
+    sets = [simhash.shingle_set(t) for t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if simhash.similar(sets[i], sets[j])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == united(range(len(rows)), pairs)
+    assert "placed-1" in written and "placed-2" not in written
+
+
 @pytest.mark.parametrize("limit", [20_000, 30])
 def test_meetings_of_other_components(spark, limit):
     """Of every shared key the pairs of different components, in small groups and large, whole and in tiles."""

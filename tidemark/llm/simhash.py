@@ -34,6 +34,9 @@ COPY_WORDS, COPY_PERCENT = 5, 80
 SLOTS, SLICES = 1 << 20, 64
 #: Neighbours in a large group that a set is held against first.
 NEIGHBOURS = 4
+#: Comparisons of sketches that a row may take on average when all pairs of different components are compared: a further round
+#: of neighbours passes over all rows and costs more than these.
+COMPARISONS = 1024
 #: Bits of a set's parity sketch.
 SKETCH = 512
 
@@ -240,6 +243,16 @@ def rarest(hashes: np.ndarray, levels: np.ndarray, percent: int = COPY_PERCENT)
     return hashes[order[: prefix_length(len(hashes), percent)]]
 
 
+def first_keys(tokens: DataFrame) -> DataFrame:
+    """(key, rows) of the keys of several nodes, one of all that have the same nodes: the first in the order of the prefixes.
+
+    A pair's first common key is the first of all keys with its nodes, so none is lost with the others.  Node sets are told
+    by their number and a 128-bit sum of hashes.
+    """
+    sets = tokens.groupBy("key").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.sum("at").alias("at"))
+    return sets.where("rows > 1").groupBy("rows", "x", "y").agg(F.min_by("key", "at").alias("key")).select("key", "rows")
+
+
 def meetings(shared: DataFrame, percent: int, scratch: Scratch, name: str, chain: int = 0, limit: int = CELL_LIMIT) -> DataFrame:
     """Pairs (u, v), u > v, of nodes of different components that share a ``key`` and can have the similarity: by their
     numbers of shingles ``n``, by what is left of both behind the key's places ``at``, as if it were the first they share, and
@@ -310,7 +323,7 @@ def meetings(shared: DataFrame, percent: int, scratch: Scratch, name: str, chain
     return by_group(dealt, key).mapInArrow(run, T.StructType([field("u", "long"), field("v", "long")])).distinct()
 
 
-def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PERCENT, id_col: str = "doc_id", text_col: str = "text", cell_limit: int = CELL_LIMIT) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PERCENT, id_col: str = "doc_id", text_col: str = "text", cell_limit: int = CELL_LIMIT, comparisons: int = COMPARISONS) -> DataFrame:
     """doc_id, component_id of every row: the least doc_id of the rows reachable over texts whose sets of shingles have
     a Jaccard similarity of ``percent``.
 
@@ -318,7 +331,7 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PE
     all rows.  So fingerprints within ``RADIUS`` give the first candidates, and the rest come from prefixes: sets of this
     similarity share one of their rarest shingles (``prefix_length``), so no pair is left out.  Every candidate is compared
     exactly.  Where the groups of a shingle hold more pairs than all prefixes have rows, neighbours are linked first, in
-    rounds while they find links, and then all pairs of different components are compared.  Texts of one set are one node however many they are.
+    rounds while they find links and over ``comparisons`` a row are left, and then all pairs of different components are compared.  Texts of one set are one node however many they are.
     Ids must be unique and not null (row numbers, say).
     """
     scratch = Scratch(docs.sparkSession, "copies")
@@ -352,7 +365,7 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PE
     marked, distinct = scratch.write(read.select("doc_id", "node"), "marked"), scratch.write(whole.drop("prefix"), "distinct")
     scratch.drop("read")
     tokens = whole.select("node", "n", F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at").cast("long"))
-    groups = scratch.write(tokens.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "groups")
+    groups = scratch.write(first_keys(tokens), "groups")
     shared = scratch.write(tokens.join(groups.select("key").hint("shuffle_hash"), "key", "left_semi"), "shared")
     left = scratch.write(shared.join(distinct.select("node", "sketch"), "node").withColumn("component", F.col("node")), "left-0")
     many = groups.agg(F.sum(F.expr("rows * (rows - 1) / 2")).alias("n")).first()["n"] or 0
@@ -402,9 +415,9 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PE
         scratch.drop(f"placed-{k}")
         alike = left.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.expr("c * c")).alias("s"))
         now = alike.agg(F.sum("c").alias("rows"), F.sum(F.expr("(c * c - s) / 2")).alias("n")).first()
-        # Four times the neighbours while that links something and is less than all pairs, which the last round compares.
+        # Four times the neighbours while that links something and all pairs, which the last round compares, are many more.
         near = NEIGHBOURS * 4**k
-        in_rounds = linked and (now["n"] or 0) > near * (now["rows"] or 0)
+        in_rounds = linked and (now["n"] or 0) > max(near, comparisons) * (now["rows"] or 0)
         more = verified(meetings(left, percent, scratch, f"met-{k}", near if in_rounds else 0, cell_limit), f"met-{k}")
         found, linked = found.unionByName(more), not more.isEmpty()
     return _of_rows(marked, distinct, "node", components(found, scratch), scratch).select("doc_id", "component_id")
