@@ -365,9 +365,12 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PE
     marked, distinct = scratch.write(read.select("doc_id", "node"), "marked"), scratch.write(whole.drop("prefix"), "distinct")
     scratch.drop("read")
     tokens = whole.select("node", "n", F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at").cast("long"))
-    groups = scratch.write(first_keys(tokens), "groups")
-    shared = scratch.write(tokens.join(groups.select("key").hint("shuffle_hash"), "key", "left_semi"), "shared")
+    several = tokens.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    met = scratch.write(tokens.join(several.hint("shuffle_hash"), "key", "left_semi"), "met")
+    groups = scratch.write(first_keys(met), "groups")
+    shared = scratch.write(met.join(groups.select("key").hint("shuffle_hash"), "key", "left_semi"), "shared")
     left = scratch.write(shared.join(distinct.select("node", "sketch"), "node").withColumn("component", F.col("node")), "left-0")
+    scratch.drop("met")
     many = groups.agg(F.sum(F.expr("rows * (rows - 1) / 2")).alias("n")).first()["n"] or 0
     in_rounds = many > whole.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] if many else False
     scratch.drop("whole")
