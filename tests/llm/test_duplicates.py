@@ -233,6 +233,63 @@ def test_meetings_of_other_components(spark, limit):
     assert near < want and len(near) > 100
 
 
+def test_sketches_differ_in_no_more_bits_than_the_sets():
+    """Of any sizes and folded to any other; sets of much the same size at the similarity are told within a few hashes."""
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 1 << 63, 9000, dtype=np.uint64) << np.uint64(1))
+    sets = [base[:0], base[:1], base[:64], base[:65], base[:400], base[40:420], base[:2500], base[300:2600], base, base[1000:]]
+    sketches = [simhash.sketch(s) for s in sets]
+    assert len({len(s) for s in sketches}) > 3
+    apart = simhash.differences(sketches)
+    every = np.arange(len(sets))
+    for i, a in enumerate(sets):
+        bits, slots = apart(i, every)
+        single = np.array([len(np.setxor1d(a, b)) for b in sets])
+        assert (bits <= single).all() and (bits % 2 == single % 2).all() and bits[i] == 0
+        assert (slots == [8 * min(len(sketches[i]), len(s)) for s in sketches]).all()
+        assert (apart(np.full(len(sets), i), every)[0] == bits).all()
+    assert apart(4, np.array([5]))[0][0] >= 50 and len(np.setxor1d(sets[4], sets[5])) == 60
+
+
+def test_spanning_edges_join_the_same_without_a_circle():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (2, 5), (200, 90), (200, 230), (60, 900)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        x, y = buckets.spanning(n, a, b)
+        want = united(range(n), zip(a.tolist(), b.tolist(), strict=True))
+        assert united(range(n), zip(x.tolist(), y.tolist(), strict=True)) == want
+        assert len(x) == n - len(set(want.values())) and set(zip(x.tolist(), y.tolist(), strict=True)) <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_candidates_grow_with_the_texts_and_not_their_pairs(spark, monkeypatch):
+    """Near copies of one text at similarities around 0.8: four times the texts give no more than some four times the candidates."""
+    made, write = Counter(), Scratch.write
+
+    def counted(self, df, name, *a):
+        out = write(self, df, name, *a)
+        made["pairs"] += out.count() if name.endswith("-pairs") else 0
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    rng, counts = random.Random(21), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    for n in (60, 240):
+        rows = []
+        for _ in range(n):
+            copy = list(base)
+            for k in rng.sample(range(2, 295, 5), rng.choice([1, 3, 5, 6])):  # each change parts five shingles of 296
+                copy[k] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+        sets = [simhash.shingle_set(t) for t in rows]
+        pairs = [(i, j) for i in range(n) for j in range(i) if simhash.similar(sets[i], sets[j])]
+        made.clear()
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == united(range(n), pairs)
+        counts.append(made["pairs"])
+        assert counts[-1] < 8 * n < len(pairs)
+    assert counts[1] < 8 * counts[0]
+
+
 def test_forest_of_edges_needs_no_pairs():
     asked = Counter()
 

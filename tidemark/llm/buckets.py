@@ -101,3 +101,23 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
                 queue += found
                 waiting = waiting[~hit]
     return edges
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the edges (a, b) among n items those that join all that they join, without a circle.  In each round every
+    component takes one edge to a component of a smaller name."""
+    name, taken = np.arange(n), []
+    while True:
+        x, y = name[a], name[b]
+        out = np.flatnonzero(x != y)
+        if not len(out):
+            break
+        above, first = np.unique(np.maximum(x[out], y[out]), return_index=True)
+        taken.append(out[first])
+        to = np.arange(n)
+        to[above] = np.minimum(x[out], y[out])[first]
+        while (further := to[to] != to).any():
+            to[further] = to[to[further]]
+        name = to[name]
+    chosen = np.concatenate([np.zeros(0, np.int64), *taken])
+    return a[chosen], b[chosen]

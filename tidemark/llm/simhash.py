@@ -9,7 +9,7 @@ into one cell per choice; within a cell the Manhattan distance is the first test
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.buckets import by_group, forest, hot_keys, join_hot, tiled, whole_groups
+from tidemark.llm.buckets import by_group, forest, hot_keys, join_hot, spanning, tiled, whole_groups
 from tidemark.llm.common import Scratch, documents, field, id_and_text, map_rows, texts_of
 from tidemark.llm.graph import components
 
@@ -32,13 +32,8 @@ CELL_LIMIT = 20_000
 COPY_WORDS, COPY_PERCENT = 5, 80
 #: Slots in which shingles are counted, to order them by frequency, and slices in which the counts are added up.
 SLOTS, SLICES = 1 << 20, 64
-#: Neighbours in a large group that a set is held against first.
-NEIGHBOURS = 4
-#: Comparisons of sketches that a row may take on average when all pairs of different components are compared: a further round
-#: of neighbours passes over all rows and costs more than these.
-COMPARISONS = 1024
-#: Bits of a set's parity sketch.
-SKETCH = 512
+#: Least and most bits of a set's parity sketch, which has at least four a shingle in between.
+SKETCH = 256, 16_384
 
 
 def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -199,10 +194,39 @@ def prefix_length(n: int, percent: int = COPY_PERCENT) -> int:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """For each of ``SKETCH`` slots whether an odd number of the set's hashes is in it.  A shared hash leaves no difference, so
-    two sketches differ in at most as many bits as hashes are in one set only."""
-    slots = np.bincount((hashes >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64), minlength=SKETCH)
-    return np.packbits(slots & 1).tobytes()
+    """For each slot whether an odd number of the set's hashes is in it.  A shared hash leaves no difference, so two sketches
+    differ in at most as many bits as hashes are in one set only.  The slots are a power of two; halves of a sketch, one
+    laid on the other by exclusive or, are the set's sketch of half as many."""
+    least, most = SKETCH
+    slots = min(max(least, 1 << (4 * len(hashes) - 1).bit_length()), most)
+    odd = np.bincount((hashes >> np.uint64(32) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differences(sketches: list[bytes]) -> Callable[[int | np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A function of rows (i, j), i one row or as many as j: in how many bits their sketches differ, of how many; the
+    larger one is folded to the smaller."""
+    words = np.array([len(s) // 8 for s in sketches], np.int64)
+    place, folded = {}, {}
+    for w in np.unique(words).tolist():
+        has = np.flatnonzero(words >= w)
+        place[w], folded[w] = np.zeros(len(words), np.int64), np.empty((len(has), w), np.uint64)
+        place[w][has] = np.arange(len(has))
+        for own in np.unique(words[has]).tolist():
+            of = np.flatnonzero(words == own)
+            whole = np.frombuffer(b"".join([sketches[k] for k in of.tolist()]), np.uint64).reshape(len(of), own // w, w)
+            folded[w][place[w][of]] = np.bitwise_xor.reduce(whole, axis=1)
+
+    def apart(i, j):
+        least = np.minimum(words[i], words[j])
+        bits = np.zeros(len(j), np.int64)
+        for w in np.unique(least).tolist():
+            of, table = least == w, folded[w]
+            a = place[w][i[of] if np.ndim(i) else i]
+            bits[of] = np.bitwise_count(table[a] ^ table[place[w][j[of]]]).sum(axis=-1, dtype=np.int64)
+        return bits, 64 * least
+
+    return apart
 
 
 def slot_levels(rows: DataFrame, words: int = COPY_WORDS) -> np.ndarray:
@@ -253,55 +277,60 @@ def first_keys(tokens: DataFrame) -> DataFrame:
     return sets.where("rows > 1").groupBy("rows", "x", "y").agg(F.min_by("key", "at").alias("key")).select("key", "rows")
 
 
-def meetings(shared: DataFrame, percent: int, scratch: Scratch, name: str, chain: int = 0, limit: int = CELL_LIMIT) -> DataFrame:
+def meetings(shared: DataFrame, percent: int, scratch: Scratch, name: str, chain: bool = False, limit: int = CELL_LIMIT) -> DataFrame:
     """Pairs (u, v), u > v, of nodes of different components that share a ``key`` and can have the similarity: by their
     numbers of shingles ``n``, by what is left of both behind the key's places ``at``, as if it were the first they share, and
     by the bits in which their sketches (where ``shared`` has them) differ.
-    With ``chain`` only neighbours up to so many rows apart, in an order that is another for every key and every number."""
+    With ``chain`` only pairs whose sketches differ in no more bits than those of sets at the similarity do on average, and of
+    each group's no more than chain together what they all would: fewer than the group has rows."""
     key = ["key", "tile_a", "tile_b"]
     sketched = ["sketch"] if "sketch" in shared.columns else []
     dealt = tiled(shared.select("key", "node", "n", "at", "component", *sketched), ["key"], "node", limit, scratch, name)
 
     def run(batches):
         for table, ends in whole_groups(batches, key):
-            node, n, at, component, keys = (table.column(c).to_numpy() for c in ("node", "n", "at", "component", "key"))
+            sizes = np.diff(ends)
+            # By node, so that groups of much the same nodes chain them by the same pairs.
+            table = table.take(np.lexsort((table.column("node").to_numpy(), np.repeat(np.arange(len(sizes)), sizes))))
+            node, n, at, component = (table.column(c).to_numpy() for c in ("node", "n", "at", "component"))
             rest = n - at
-            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1) if sketched else np.zeros((len(n), 1), np.uint64)
+            apart = differences(table.column("sketch").to_pylist()) if sketched else None
 
-            def can(i, j, n=n, rest=rest, bits=bits, component=component):
+            def can(i, j, n=n, rest=rest, apart=apart, component=component):
                 """Whether the pairs (i, j) can; i is one row or as many as j."""
                 least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                 fits = (100 * least >= percent * most) & ((100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (least + most))
                 fits &= component[i] != component[j]
                 at = np.flatnonzero(fits)
-                apart = np.bitwise_count(bits[i[at] if np.ndim(i) else i] ^ bits[j[at]]).sum(axis=1, dtype=np.int64)
-                fits[at] = (100 + percent) * apart <= (100 - percent) * (least + most)[at]
+                if apart and len(at):
+                    bits, slots = apart(i[at] if np.ndim(i) else i, j[at])
+                    single = (100 - percent) * (least + most)[at] / (100 + percent)  # hashes in one set only, at the similarity
+                    fits[at] = bits <= (slots / 2 * -np.expm1(single * np.log1p(-2 / slots)) if chain else single)
                 return fits
 
             def out(i, j, node=node):
                 pairs = np.unique(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], 1), axis=0)
                 return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-            sizes = np.diff(ends)
-            if chain:
-                salt = (node ^ keys).view(np.uint64) * (np.random.default_rng(chain).integers(1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-                group = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((salt, group))
-                for d in range(1, min(chain, int(sizes.max()) - 1) + 1):
-                    i, j = order[:-d], order[d:]
-                    met = (group[i] == group[j]) & can(i, j)
-                    yield out(i[met], j[met])
-                continue
             # Small groups: all at once, row against the d-th row below.
             end_of, row = np.repeat(ends[1:], sizes), np.flatnonzero(np.repeat(sizes <= 64, sizes))
+            a, b = [], []
             for d in range(1, 64):
                 row = row[row + d < end_of[row]]
                 if not len(row):
                     break
                 met = row[can(row, row + d)]
-                if len(met):
-                    yield out(met, met + d)
+                a.append(met)
+                b.append(met + d)
+            if a and sum(map(len, a)):
+                i, j = np.concatenate(a), np.concatenate(b)
+                yield out(*(spanning(len(node), i, j) if chain else (i, j)))
             for s, e in zip(ends[:-1][sizes > 64], ends[1:][sizes > 64], strict=True):
+                if chain:
+                    found = np.array(forest(e - s, lambda i, others, s=s, can=can: can(s + i, s + others)), np.int64).reshape(-1, 2)
+                    if len(found):
+                        yield out(s + found[:, 0], s + found[:, 1])
+                    continue
                 # Rows of the largest component come last and need no partners of their own.
                 _, which, many = np.unique(component[s:e], return_inverse=True, return_counts=True)
                 last = which == many.argmax()
@@ -323,15 +352,16 @@ def meetings(shared: DataFrame, percent: int, scratch: Scratch, name: str, chain
     return by_group(dealt, key).mapInArrow(run, T.StructType([field("u", "long"), field("v", "long")])).distinct()
 
 
-def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PERCENT, id_col: str = "doc_id", text_col: str = "text", cell_limit: int = CELL_LIMIT, comparisons: int = COMPARISONS) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PERCENT, id_col: str = "doc_id", text_col: str = "text", cell_limit: int = CELL_LIMIT) -> DataFrame:
     """doc_id, component_id of every row: the least doc_id of the rows reachable over texts whose sets of shingles have
     a Jaccard similarity of ``percent``.
 
     At that similarity fingerprints differ in some 5 to 13 of 64 bits; the grid of such a radius has cells of a tenth of
     all rows.  So fingerprints within ``RADIUS`` give the first candidates, and the rest come from prefixes: sets of this
     similarity share one of their rarest shingles (``prefix_length``), so no pair is left out.  Every candidate is compared
-    exactly.  Where the groups of a shingle hold more pairs than all prefixes have rows, neighbours are linked first, in
-    rounds while they find links and over ``comparisons`` a row are left, and then all pairs of different components are compared.  Texts of one set are one node however many they are.
+    exactly.  Of the texts that share a shingle first only so many pairs are taken as chain together what sketches tell to be
+    likely links; then all pairs of different components that can be links are, so that no link between components is left
+    out and groups of copies never become pairs.  Texts of one set are one node however many they are.
     Ids must be unique and not null (row numbers, say).
     """
     scratch = Scratch(docs.sparkSession, "copies")
@@ -370,10 +400,7 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PE
     groups = scratch.write(first_keys(met), "groups")
     shared = scratch.write(met.join(groups.select("key").hint("shuffle_hash"), "key", "left_semi"), "shared")
     left = scratch.write(shared.join(distinct.select("node", "sketch"), "node").withColumn("component", F.col("node")), "left-0")
-    scratch.drop("met")
-    many = groups.agg(F.sum(F.expr("rows * (rows - 1) / 2")).alias("n")).first()["n"] or 0
-    in_rounds = many > whole.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] if many else False
-    scratch.drop("whole")
+    scratch.drop("met", "whole")
 
     def verified(pairs, name):
         """Of the pairs those that have the similarity."""
@@ -406,24 +433,18 @@ def near_copies(docs: DataFrame, words: int = COPY_WORDS, percent: int = COPY_PE
     sizes = lambda end: distinct.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"))
     # Sets whose sizes are further apart than the similarity can't have it.
     pairs = pairs.join(sizes("u"), "u").join(sizes("v"), "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")).select("u", "v")
-    found = verified(pairs.unionByName(meetings(left, percent, scratch, "met-0", NEIGHBOURS if in_rounds else 0, cell_limit)).distinct(), "met-0")
-    k, linked = 0, True
-    while in_rounds:
-        k += 1
-        joined = components(found, Scratch(docs.sparkSession, "copies-joined"))
-        placed = left.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = scratch.write(placed, f"placed-{k}")
-        apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-        left = scratch.write(placed.join(apart, "key", "left_semi"), f"left-{k}")
-        scratch.drop(f"placed-{k}")
-        alike = left.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.expr("c * c")).alias("s"))
-        now = alike.agg(F.sum("c").alias("rows"), F.sum(F.expr("(c * c - s) / 2")).alias("n")).first()
-        # Four times the neighbours while that links something and all pairs, which the last round compares, are many more.
-        near = NEIGHBOURS * 4**k
-        in_rounds = linked and (now["n"] or 0) > max(near, comparisons) * (now["rows"] or 0)
-        more = verified(meetings(left, percent, scratch, f"met-{k}", near if in_rounds else 0, cell_limit), f"met-{k}")
-        found, linked = found.unionByName(more), not more.isEmpty()
-    return _of_rows(marked, distinct, "node", components(found, scratch), scratch).select("doc_id", "component_id")
+    found = verified(pairs.unionByName(meetings(left, percent, scratch, "met-0", True, cell_limit)).distinct(), "met-0")
+    scratch.drop("left-0")
+    joined = components(found, Scratch(docs.sparkSession, "copies-joined"))
+    placed = scratch.write(shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed-1")
+    apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    left = scratch.write(placed.join(apart, "key", "left_semi").join(distinct.select("node", "sketch"), "node"), "left-1")
+    scratch.drop("placed-1")
+    more = verified(meetings(left, percent, scratch, "met-1", limit=cell_limit), "met-1")
+    if not more.isEmpty():
+        both = joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
+        joined = components(both, Scratch(docs.sparkSession, "copies-joined"))
+    return _of_rows(marked, distinct, "node", joined, scratch).select("doc_id", "component_id")
 
 
 def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
